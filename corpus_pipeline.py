@@ -1,3 +1,66 @@
+"""A training corpus from raw documents: five stages, each over all that the one before it kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+The caller stores a stage's result before it starts the next one, so a stage first frees the scratch tables of
+those before it.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kvlog.llm import bpe, minhash, mixing, quality, scratch, suffix_dedup
+
+
+def _rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality.keep_good(docs)
+
+
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near duplicates."""
+    scratch.release()
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept"))
+    return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+
+
+def _repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings that an earlier document holds."""
+    scratch.release()
+    return suffix_dedup.without_repeats(docs)
+
+
+def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the target weights of their sources, in random order."""
+    scratch.release()
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, checked by decoding."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_documents(docs, path, public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("quality rules", _rules),
+    ("near duplicates", _near),
+    ("repeated passages", _repeats),
+    ("source mixture", _mix),
+    ("byte-level tokens", _tokens),
+]
+
+#: Components of links and byte-level removal have no SQL of bearable cost; tests compare run() with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        path = f"{scratch.shared_dir(spark)}/pipeline-{name.replace(' ', '-')}-{scratch.uuid.uuid4().hex}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

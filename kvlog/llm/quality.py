@@ -47,35 +47,50 @@ BASE_FAILS = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 def with_metrics(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the metric columns.  All work stays inside a row: no shuffle, so a hot source cannot skew it.
 
-    Repeated windows: hashes of all 5-word windows tell in linear time whether a text has any repeat; only then
-    the windows themselves are sorted and neighbours compared, so a hash collision cannot change a figure.
+    Repeated windows: 64-bit hashes of all 5-word windows, built by doubling (1, 2, 4, 5 words), tell in linear
+    time whether a text has any repeat; only then they are sorted with their places and neighbours compared.
+    Everything but the split into words sits in one projection, because each projection copies the row.
     """
-    w, n = F.col(f"{_P}words"), F.col("n_words")
-    df = df.withColumn(f"{_P}text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    df = df.withColumn(f"{_P}words", F.array_remove(F.split(f"{_P}text", WORD_GAP), ""))
-    df = df.withColumn(f"{_P}lines", F.filter(F.split(f"{_P}text", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
+    own = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    df = df.withColumn(f"{_P}text", own).withColumn(f"{_P}words", F.array_remove(F.split(own, WORD_GAP), ""))
+    t, w = F.col(f"{_P}text"), F.col(f"{_P}words")
+    lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     df = df.withColumns(
         {
+            f"{_P}lines": _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))),
             "n_words": F.size(w).cast("long"),
             "word_chars": F.length(F.array_join(w, "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace(f"{_P}text", "[^" + SYMBOLS + "]+", "")).cast("long"),
-            "n_lines": F.size(f"{_P}lines").cast("long"),
-            "n_dup_lines": (F.size(f"{_P}lines") - F.size(F.array_distinct(f"{_P}lines"))).cast("long"),
+            "n_symbols": F.length(F.regexp_replace(t, "[^" + SYMBOLS + "]+", "")).cast("long"),
+            "n_repeat_words": F.coalesce(F.when(F.size(w) > 5, _repeat_words(w)), F.lit(0)).cast("long"),
         }
     )
-    starts = F.sequence(F.lit(0), (n - 5).cast("int"))
-    df = df.withColumn(f"{_P}hash", F.when(n > 5, F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)]))))
-    df = df.withColumn(f"{_P}again", F.size(f"{_P}hash") > F.size(F.array_distinct(f"{_P}hash")))
-    window = lambda i: F.struct(F.array_join(F.slice(w, i + 1, 5), " ").alias("s"), i.alias("i"))
-    df = df.withColumn(f"{_P}sorted", F.when(F.col(f"{_P}again"), F.sort_array(F.transform(starts, window))))
-    s = F.col(f"{_P}sorted")
-    twin = lambda x, j: (x["s"] == F.get(s, j + 1)["s"]) | ((j > 0) & (x["s"] == F.get(s, F.greatest(j - 1, F.lit(0)))["s"]))
-    hit = F.filter(s, lambda x, j: F.coalesce(twin(x, j), F.lit(False)))
-    df = df.withColumn(f"{_P}at", F.sort_array(F.transform(hit, lambda x: x["i"])))
-    p = F.col(f"{_P}at")
-    runs = F.transform(p, lambda x, j: F.least(F.lit(5), F.coalesce(F.get(p, j + 1) - x, F.lit(5))))
-    covered = F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + x)
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
+    n, d = F.col(f"{_P}lines.n"), F.col(f"{_P}lines.d")
+    return df.withColumns({"n_lines": n.cast("long"), "n_dup_lines": (n - d).cast("long")})
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` over ``value`` computed once, inside one expression and so one row copy."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _repeat_words(words: Column) -> Column:
+    """Words in 5-word windows that occur twice; null if there is none."""
+    both = lambda x, y: F.xxhash64(x, y)
+    cut = lambda c, first, less: F.slice(c, F.lit(first + 1), F.greatest(F.size(words) - less, F.lit(0)))
+    four = lambda h2: F.zip_with(cut(h2, 0, 4), cut(h2, 2, 4), both)
+    five = lambda h: F.zip_with(_let(F.zip_with(cut(h, 0, 1), cut(h, 1, 1), both), four), cut(h, 4, 4), both)
+    windows = _let(F.transform(words, lambda x: F.xxhash64(x)), five)
+
+    def covered(p: Column) -> Column:
+        runs = F.transform(p, lambda x, j: F.least(F.lit(5), F.coalesce(F.get(p, j + 1) - x, F.lit(5))))
+        return F.aggregate(runs, F.lit(0), lambda a, x: a + x)
+
+    def places(s: Column) -> Column:
+        twin = lambda x, j: F.coalesce(x["h"] == F.get(s, j + 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, j - 1)["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, twin), lambda x: x["i"]))
+
+    placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return _let(windows, lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), _let(_let(placed(h), places), covered)))
 
 
 def _seconds(df: DataFrame, column: Column, rows: int) -> tuple[float, list[bool]]:

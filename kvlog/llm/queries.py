@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minhash, mixing, quality
+import public_tokenizers
+
+from . import bpe, html_text, langid, licenses, minhash, mixing, quality, suffix_dedup, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,32 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_held_out(_table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op9_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -30,9 +58,29 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+_QUERIES = (
+    op1_quality_rules,
+    op2_html_text,
+    op3_mix_sources,
+    op4_language_id,
+    op5_suffix_array_dedup,
+    op6_exact_top_k,
+    op7_license_scan,
+    op8_byte_bpe,
+    op9_warc_from_arc,
+    op10_minhash_near_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_mix_sources, op7_license_scan, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.ORACLE, "op3_mix_sources": mixing.oracle(), "op7_license_scan": licenses.oracle()}
+    return {
+        "op1_quality_rules": quality.ORACLE,
+        "op3_mix_sources": mixing.oracle(),
+        "op6_exact_top_k": topk.ORACLE,
+        "op7_license_scan": licenses.oracle(),
+        "op9_warc_from_arc": warc.ORACLE,
+    }
