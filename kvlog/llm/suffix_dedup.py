@@ -35,9 +35,9 @@ from pyspark.sql import types as T
 
 WINDOW = 50
 GRAM = 24
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 4 << 20
 SHARD_BYTES = 4 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: No segment has more windows, so that its first and last window cover it and a 32-bit mask describes it.
 RUN = 32
 #: Fingerprints of more than 2 ** HOT distinct segments or so are salted.
@@ -58,16 +58,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _rolling(b: np.ndarray, base: int, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
     """Polynomial hashes of all substrings of the given lengths, by doubling."""
     at = {1: b.astype(np.uint64) + _U(1)}
+    for length in lengths:
+        _extend(at, len(b), base, length)
+    return {n: at[n] for n in lengths}
 
-    def get(n: int) -> np.ndarray:
-        if n not in at:
-            left = 1 << ((n - 1).bit_length() - 1)
-            x, y = get(left), get(n - left)
-            m = max(0, len(b) - n + 1)
-            at[n] = x[:m] * _U(pow(base, n - left, 1 << 64)) + y[left : left + m]
-        return at[n]
 
-    return {n: get(n) for n in lengths}
+def _extend(at: dict[int, np.ndarray], size: int, base: int, n: int) -> np.ndarray:
+    if n not in at:
+        left = 1 << ((n - 1).bit_length() - 1)
+        x, y = _extend(at, size, base, left), _extend(at, size, base, n - left)
+        m = max(0, size - n + 1)
+        at[n] = x[:m] * _U(pow(base, n - left, 1 << 64)) + y[left : left + m]
+    return at[n]
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -437,7 +439,7 @@ def remove_repeats(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
         fields.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
     total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))))).first()[0] or 0
     groups = max(8, -(-total // GROUP_BYTES))
-    shards = max(8, -(-total // SHARD_BYTES) // 2)
+    shards = max(8, -(-total // SHARD_BYTES))
     bits = max(4, int(total // 14 // 250_000).bit_length())
     base = docs.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))), F.lit(groups)).cast("int").alias("g"), *fields)
     listed = base.groupBy("g").applyInArrow(_list_fingerprints(bits), "bucket int, g int, f binary")
