@@ -2,14 +2,15 @@
 
 A byte goes if a 50-byte string (a window) that covers it also starts in a document with a smaller doc_id.
 
-Sharding.  Each window has a fingerprint: the smallest hash among its 24-byte substrings.  It depends on the
+Sharding.  Each window has a fingerprint: the smallest hash among its 20-byte substrings.  It depends on the
 window's bytes alone, so equal windows have equal fingerprints, and neighbouring windows mostly share theirs: a run
-of windows with one fingerprint is a *segment*.  Documents are dealt once to groups by a hash of their id; four
+of windows with one fingerprint is a *segment*.  Documents are dealt once to groups by a hash of their id; all
 steps reuse that one exchange:
 
-1. each group lists its fingerprints; buckets of fingerprints find those of two or more documents;
-2. each group sends its segments under such fingerprints, every distinct one once with its smallest doc_id, to the
-   shard of the fingerprint.  A fingerprint of very many documents is salted over several shards;
+1. each group lists its fingerprints; buckets of fingerprints find those of two or more documents, and of these the
+   ones whose segments are copies of one another: copies are pre-aggregated to their smallest doc_id;
+2. each group sends its segments under the other fingerprints, every distinct one once with its smallest doc_id, to
+   the shard of the fingerprint.  A fingerprint of very many documents is salted over several shards;
 3. each shard builds a suffix array (Larsson-Sadakane refinement, up to the window length), common prefixes
    (Kasai, all segments in step) and from them the classes of equal windows with their smallest doc_id.  Salted
    shards then merge their sorted class lists by binary search;
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 50
-GRAM = 24
+GRAM = 20
 GROUP_BYTES = 4 << 20
 SHARD_BYTES = 4 << 20
 CHUNK = 1 << 18
@@ -49,6 +50,10 @@ _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MASK64 = (1 << 64) - 1
 
 
+_ROUTE = pa.schema([("kind", pa.string()), ("to", pa.int32()), ("f", pa.binary()), ("d", pa.binary()), ("m", pa.binary()), ("g", pa.binary())])
+_ROUTE_SQL = "kind string, to int, f binary, d binary, m binary, g binary"
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
     x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
@@ -186,18 +191,65 @@ def _shared_fingerprints(table: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array(groups), "f": pa.array(rows, pa.binary()), "level": pa.array(levels, pa.binary())})
 
 
-def _ship_segments(shards: int):
+def _pick(g: _Group, f: np.ndarray, level: np.ndarray):
+    """The first segment of each (fingerprint, digest) of the group whose fingerprint is listed, and its level."""
+    order = np.argsort(f, kind="stable")
+    f, level = f[order], level[order]
+    by, new = g.distinct()
+    first = by[new]
+    if not len(f):
+        return first[:0], np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(f, g.f[first]), len(f) - 1)
+    hit = f[at] == g.f[first]
+    return first[hit], level[at[hit]].astype(np.int64)
+
+
+def _listed(table: pa.Table, fs: str, levels: str) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(table.column(fs).to_pylist()), np.uint64), np.frombuffer(b"".join(table.column(levels).to_pylist()), np.uint8)
+
+
+def _head_segments(buckets: int):
+    """Digests and smallest ids of segments, without their bytes; of a frequent fingerprint only its name."""
+
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, shared: pa.Table) -> pa.Table:
         g = _Group(texts)
-        f = np.frombuffer(b"".join(shared.column("f").to_pylist()), np.uint64)
-        level = np.frombuffer(b"".join(shared.column("level").to_pylist()), np.uint8)
-        order = np.argsort(f, kind="stable")
-        f, level = f[order], level[order]
-        by, new = g.distinct()
-        first = by[new]
-        at = np.minimum(np.searchsorted(f, g.f[first]), max(0, len(f) - 1))
-        first = first[f[at] == g.f[first]] if len(f) else first[:0]
-        lv = level[np.searchsorted(f, g.f[first])].astype(np.int64) if len(f) else np.empty(0, np.int64)
+        first, lv = _pick(g, *_listed(shared, "f", "level"))
+        hot = lv > HOT
+        again = np.append(False, (g.f[first][1:] == g.f[first][:-1]))  # first is sorted by fingerprint
+        keep = ~(hot & again)
+        first, lv = first[keep], lv[keep]
+        bucket = (_mix(g.f[first]) % _U(buckets)).astype(np.int64)
+        keys, (fs, ds, ids, lvs) = _packed(bucket, buckets, [g.f[first], g.d[first], g.id[first], lv.astype(np.uint8)])
+        b = pa.binary()
+        return pa.table({"bucket": pa.array(keys), "g": pa.array(np.full(len(keys), key[0].as_py(), np.int32)), "f": pa.array(fs, b), "d": pa.array(ds, b), "id": pa.array(ids, b), "level": pa.array(lvs, b)})
+
+    return run
+
+
+def _resolve(table: pa.Table) -> pa.Table:
+    """Fingerprints under which all segments are equal: groups hear of those that have a smaller id elsewhere.  The
+    others, and frequent ones, have to be shipped."""
+    f, d, ids = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("f", np.uint64), ("d", np.uint64), ("id", np.int64)))
+    raw = table.column("level").to_pylist()
+    lv, g = np.frombuffer(b"".join(raw), np.uint8), np.repeat(table.column("g").to_numpy(), [len(x) for x in raw])
+    order = np.argsort(f, kind="stable")
+    f, d, ids, lv, g = f[order], d[order], ids[order], lv[order], g[order]
+    new = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
+    count = np.diff(np.append(new, len(f)))
+    single = (np.minimum.reduceat(d, new) == np.maximum.reduceat(d, new)) & (lv[new] <= HOT)
+    least = np.repeat(np.minimum.reduceat(ids, new), count)
+    single = np.repeat(single, count)
+    out = []
+    for kind, rows in (("whole", single & (ids > least)), ("ship", ~single)):
+        groups, (fs, lvs) = _packed(g[rows].astype(np.int64), 0, [f[rows], lv[rows]])
+        out += [{"kind": kind, "to": int(k), "f": x, "d": y} for k, x, y in zip(groups, fs, lvs)]
+    return pa.Table.from_pylist(out, schema=_ROUTE)
+
+
+def _ship_segments(shards: int):
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, news: pa.Table) -> pa.Table:
+        g = _Group(texts)
+        first, lv = _pick(g, *_listed(news.filter(pa.compute.equal(news.column("kind"), "ship")) if news.num_rows else news, "f", "d"))
         salt = g.d[first] & ((_U(1) << np.maximum(0, lv - HOT).astype(np.uint64)) - _U(1))
         shard = (_mix(g.f[first] + salt) % _U(shards)).astype(np.int64)
         size = (g.n[first] + WINDOW - 1).astype(np.int64)
@@ -329,8 +381,6 @@ def _classes(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_ROUTE)
 
 
-_ROUTE = pa.schema([("kind", pa.string()), ("to", pa.int32()), ("f", pa.binary()), ("d", pa.binary()), ("m", pa.binary()), ("g", pa.binary())])
-_ROUTE_SQL = "kind string, to int, f binary, d binary, m binary, g binary"
 
 
 def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -362,7 +412,7 @@ def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def _route(table: pa.Table, kind: str) -> list[np.ndarray]:
     t = table.filter(pa.compute.equal(table.column("kind"), kind)) if table.num_rows else table
-    return [np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("f", np.uint64), ("d", np.uint64), ("m", np.int64))]
+    return [np.frombuffer(b"".join(x or b"" for x in t.column(c).to_pylist()), d) if kind != "whole" or c == "f" else None for c, d in (("f", np.uint64), ("d", np.uint64), ("m", np.int64))]
 
 
 def _removed(g: _Group, news: pa.Table) -> np.ndarray:
@@ -378,7 +428,11 @@ def _removed(g: _Group, news: pa.Table) -> np.ndarray:
         block = np.cumsum(np.isin(np.arange(len(order)), new)) - 1
         least = np.empty(len(order), np.int64)
         least[order] = g.id[order[new]][block]
-        later = np.flatnonzero(g.id > least)
+        whole = np.unique(_route(news, "whole")[0])
+        later = g.id > least
+        if len(whole):
+            later |= whole[np.minimum(np.searchsorted(whole, g.f), len(whole) - 1)] == g.f
+        later = np.flatnonzero(later)
         cover(g.i[later], g.n[later] + WINDOW - 1)
         f, d, m = _route(news, "mask")
         if len(f):
@@ -394,7 +448,7 @@ def _removed(g: _Group, news: pa.Table) -> np.ndarray:
                 at += 1
             own = np.empty(len(order), np.int64)
             own[order] = mask[block]
-            own[g.id > least] = 0
+            own[later] = 0
             for k in range(RUN):
                 cover(g.i[(own >> k) & 1 == 1] + k, WINDOW)
         h1, h2, low = _route(news, "low")
@@ -440,13 +494,16 @@ def remove_repeats(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))))).first()[0] or 0
     groups = max(8, -(-total // GROUP_BYTES))
     shards = max(8, -(-total // SHARD_BYTES))
-    bits = max(4, int(total // 14 // 250_000).bit_length())
+    bits = max(4, int(total // 16 // 250_000).bit_length())
     base = docs.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))), F.lit(groups)).cast("int").alias("g"), *fields)
     listed = base.groupBy("g").applyInArrow(_list_fingerprints(bits), "bucket int, g int, f binary")
     shared = listed.groupBy("bucket").applyInArrow(_shared_fingerprints, "g int, f binary, level binary")
-    sent = base.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_ship_segments(shards), "shard int, g int, f binary, d binary, id binary, size binary, hot binary, body binary")
+    heads = base.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_head_segments(1 << bits), "bucket int, g int, f binary, d binary, id binary, level binary")
+    resolved = heads.groupBy("bucket").applyInArrow(_resolve, _ROUTE_SQL).withColumn("g", F.col("to"))
+    sent = base.groupBy("g").cogroup(resolved.where("kind = 'ship'").groupBy("g")).applyInArrow(_ship_segments(shards), "shard int, g int, f binary, d binary, id binary, size binary, hot binary, body binary")
     routed = sent.groupBy("shard").applyInArrow(_classes, _ROUTE_SQL)
     news = routed.groupBy("kind", "to").applyInArrow(_merge, _ROUTE_SQL).select("kind", "f", "d", "m", F.col("to").alias("g"))
+    news = news.unionByName(resolved.where("kind = 'whole'").select("kind", "f", "d", "m", "g"))
     names = ("doc_id", "row") if keep_rows else ("doc_id",)
     field = lambda name, kind: T.StructField(name, kind)
     schema = [field("doc_id", T.LongType())] + ([field("row", base.schema["row"].dataType)] if keep_rows else [])
