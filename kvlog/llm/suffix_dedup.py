@@ -226,24 +226,28 @@ def _head_segments(buckets: int):
     return run
 
 
-def _resolve(table: pa.Table) -> pa.Table:
+def _resolve(hot_level: int):
     """Fingerprints under which all segments are equal: groups hear of those that have a smaller id elsewhere.  The
     others, and frequent ones, have to be shipped."""
-    f, d, ids = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("f", np.uint64), ("d", np.uint64), ("id", np.int64)))
-    raw = table.column("level").to_pylist()
-    lv, g = np.frombuffer(b"".join(raw), np.uint8), np.repeat(table.column("g").to_numpy(), [len(x) for x in raw])
-    order = np.argsort(f, kind="stable")
-    f, d, ids, lv, g = f[order], d[order], ids[order], lv[order], g[order]
-    new = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
-    count = np.diff(np.append(new, len(f)))
-    single = (np.minimum.reduceat(d, new) == np.maximum.reduceat(d, new)) & (lv[new] <= HOT)
-    least = np.repeat(np.minimum.reduceat(ids, new), count)
-    single = np.repeat(single, count)
-    out = []
-    for kind, rows in (("whole", single & (ids > least)), ("ship", ~single)):
-        groups, (fs, lvs) = _packed(g[rows].astype(np.int64), 0, [f[rows], lv[rows]])
-        out += [{"kind": kind, "to": int(k), "f": x, "d": y} for k, x, y in zip(groups, fs, lvs)]
-    return pa.Table.from_pylist(out, schema=_ROUTE)
+
+    def run(table: pa.Table) -> pa.Table:
+        f, d, ids = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("f", np.uint64), ("d", np.uint64), ("id", np.int64)))
+        raw = table.column("level").to_pylist()
+        lv, g = np.frombuffer(b"".join(raw), np.uint8), np.repeat(table.column("g").to_numpy(), [len(x) for x in raw])
+        order = np.argsort(f, kind="stable")
+        f, d, ids, lv, g = f[order], d[order], ids[order], lv[order], g[order]
+        new = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
+        count = np.diff(np.append(new, len(f)))
+        single = (np.minimum.reduceat(d, new) == np.maximum.reduceat(d, new)) & (lv[new] <= hot_level)
+        least = np.repeat(np.minimum.reduceat(ids, new), count)
+        single = np.repeat(single, count)
+        out = []
+        for kind, rows in (("whole", single & (ids > least)), ("ship", ~single)):
+            groups, (fs, lvs) = _packed(g[rows].astype(np.int64), 0, [f[rows], lv[rows]])
+            out += [{"kind": kind, "to": int(k), "f": x, "d": y} for k, x, y in zip(groups, fs, lvs)]
+        return pa.Table.from_pylist(out, schema=_ROUTE)
+
+    return run
 
 
 def _ship_segments(shards: int):
@@ -499,7 +503,7 @@ def remove_repeats(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
     listed = base.groupBy("g").applyInArrow(_list_fingerprints(bits), "bucket int, g int, f binary")
     shared = listed.groupBy("bucket").applyInArrow(_shared_fingerprints, "g int, f binary, level binary")
     heads = base.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_head_segments(1 << bits), "bucket int, g int, f binary, d binary, id binary, level binary")
-    resolved = heads.groupBy("bucket").applyInArrow(_resolve, _ROUTE_SQL).withColumn("g", F.col("to"))
+    resolved = heads.groupBy("bucket").applyInArrow(_resolve(HOT), _ROUTE_SQL).withColumn("g", F.col("to"))
     sent = base.groupBy("g").cogroup(resolved.where("kind = 'ship'").groupBy("g")).applyInArrow(_ship_segments(shards), "shard int, g int, f binary, d binary, id binary, size binary, hot binary, body binary")
     routed = sent.groupBy("shard").applyInArrow(_classes, _ROUTE_SQL)
     news = routed.groupBy("kind", "to").applyInArrow(_merge, _ROUTE_SQL).select("kind", "f", "d", "m", F.col("to").alias("g"))
