@@ -33,7 +33,7 @@ LISTED = 32
 #: Lists of more sets never give all their pairs.
 LIST_PAIRS = 12
 LONG_LEAST = 9
-DOMINATED = 0.65
+LIST_ALL = 0.65
 PIVOT_LISTS = 8
 ROUNDS = 5
 CROSS_LEAST = 8
@@ -202,11 +202,13 @@ def _long_lists(check: _Verifier, long: DataFrame, links: DataFrame) -> DataFram
     fewer than its similarity implies, consists of two sets with many such values (LONG_LEAST of LISTED; loss below
     1e-8).  Only these sets go on, with all their shingles:
 
-    - a shingle is hot if more than LIST_PAIRS of them hold it.  If one set of a pair is hot by no more than
-      DOMINATED, then without hot shingles the pair still has similarity 0.28, so lists of the K smallest of the
-      other shingles show it (loss 0.72 ** 64); these lists are short by definition;
-    - sets dominated by hot shingles are near copies of few originals.  Each list of hot values compares all its
-      sets with a pivot, then with a pivot among those outside the first one's component, and so on.  A set that was
+    - a shingle is hot if more than LIST_PAIRS of them hold it.  If one set of a pair is hot by no more than LIST_ALL,
+      then without hot shingles the pair still has similarity 0.28, so lists of the K smallest of the other shingles
+      show it (loss 0.72 ** 64).  Sets above that share list all their other shingles, so any that are shared show
+      the pair.  These lists are short by definition;
+    - what is left are pairs that share hot shingles only, so three quarters of each set are hot, and the bound
+      ``size_fits`` holds.  They are near copies of few originals.  Each list of hot values (the PIVOT_LISTS smallest
+      of a set; a single pair is missed with probability 0.25 ** 8) compares all its sets with a pivot, then with a pivot among those outside the first one's component, and so on.  A set that was
       a pivot is done with in that list; pairs inside a component need no link.  After ROUNDS, or when few pairs are
       left, the pairs across components are compared one by one, whatever their number.
     """
@@ -220,15 +222,17 @@ def _long_lists(check: _Verifier, long: DataFrame, links: DataFrame) -> DataFram
     hot = materialize(shingle.groupBy("v").agg(F.count("*").alias("df")).where(F.col("df") > LIST_PAIRS).select("v"), "hot")
     mine = shingle.join(hot, "v").groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("h"))
     split = sets.join(mine, "id", "left").withColumn("h", F.coalesce("h", F.array().cast("array<long>")))
-    split = split.select("id", "n", F.slice(F.array_except("s", "h"), 1, K).alias("rare"), F.slice("h", 1, PIVOT_LISTS).alias("top"), (F.size("h") > DOMINATED * F.col("n")).alias("dominated"))
+    rare, h = F.array_except("s", "h"), F.size("h").cast("long")
+    split = split.select("id", "n", F.when(h > LIST_ALL * F.col("n"), rare).otherwise(F.slice(rare, 1, K)).alias("rare"), F.slice("h", 1, PIVOT_LISTS).alias("top"), h.alias("h"), (4 * h >= 3 * F.col("n")).alias("dominated"))
     split = materialize(split, "split")
     found = _confirm(check, _short_pairs(split.select("id", "n", F.explode("rare").alias("v"))))
     links = materialize(links.unionByName(found).distinct(), "links")
-    lists = materialize(split.where("dominated").select("id", "n", F.explode("top").alias("v")), "long")
+    lists = materialize(split.where("dominated").select("id", "n", "h", F.explode("top").alias("v")), "long")
     if lists.isEmpty():
         return links
     done = None
-    size_fits = (4 * F.col("n") >= 3 * F.col("pn")) & (4 * F.col("pn") >= 3 * F.col("n"))
+    # pairs that share a rare shingle are known; others share hot ones at most, which bounds their similarity
+    size_fits = 4 * F.least("h", "ph") >= 3 * (F.greatest("h", "ph") + (F.col("n") - F.col("h")) + (F.col("pn") - F.col("ph")))
     for turn in range(ROUNDS):
         order = F.xxhash64("id", F.lit(turn))
         members = lists
@@ -248,7 +252,7 @@ def _long_lists(check: _Verifier, long: DataFrame, links: DataFrame) -> DataFram
             free = members.where("c <> main").join(done, ["v", "id"], "left_anti")
         else:
             free = members
-        pivot = free.groupBy("v").agg(F.min(F.struct(order.alias("o"), "id", "n")).alias("p")).select("v", F.col("p.id").alias("p"), F.col("p.n").alias("pn"))
+        pivot = free.groupBy("v").agg(F.min(F.struct(order.alias("o"), "id", "n", "h")).alias("p")).select("v", F.col("p.id").alias("p"), F.col("p.n").alias("pn"), F.col("p.h").alias("ph"))
         pivot = materialize(pivot, "pivot")
         own = pivot.select("v", F.col("p").alias("id"))
         done = own if done is None else done.unionByName(own)
@@ -260,7 +264,7 @@ def _long_lists(check: _Verifier, long: DataFrame, links: DataFrame) -> DataFram
 
 def _across(check: _Verifier, members: DataFrame, links: DataFrame, size_fits) -> DataFrame:
     """The pairs of a list that lie in different components, but those of the main component with each other."""
-    outside = members.where("c <> main").select("v", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))
+    outside = members.where("c <> main").select("v", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("h").alias("ph"), F.col("c").alias("pc"))
     pairs = members.join(outside, "v").where((F.col("c") != F.col("pc")) & size_fits)
     pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
     return links.unionByName(_confirm(check, pairs)).distinct()
