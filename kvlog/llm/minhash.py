@@ -143,8 +143,10 @@ def _with(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
 
 
 class _Verifier:
-    def __init__(self, docs: DataFrame, sketches: DataFrame):
-        self.docs, self.sketches = docs, sketches
+    """Judges pairs by sketches (id, sketch), then by full sets: ``stored`` ones (id, s), else those of the texts."""
+
+    def __init__(self, docs: DataFrame, sketches: DataFrame, stored: DataFrame | None = None):
+        self.docs, self.sketches, self.stored = docs, sketches, stored
 
     def estimate(self, pairs: DataFrame) -> DataFrame:
         return _with(pairs, self.sketches, "sketch").mapInArrow(_estimates, "a long, b long, est double")
@@ -156,7 +158,9 @@ class _Verifier:
 
     def jaccard(self, pairs: DataFrame) -> DataFrame:
         """Exact (a, b, inter, uni) of pairs; texts are read for their documents only."""
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        sets = self.stored
+        if sets is None:
+            sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         return _with(pairs, sets, "s").mapInArrow(_jaccards, "a long, b long, inter long, uni long")
 
 
@@ -218,6 +222,8 @@ def _long_lists(check: _Verifier, long: DataFrame, links: DataFrame) -> DataFram
     if many.isEmpty():
         return links
     sets = materialize(check.sets(many).withColumn("n", F.size("s").cast("long")), "sets")
+    # all pairs from here on are among these sets, whose first K values are their sketches
+    check = _Verifier(check.docs, sets.select("id", F.slice("s", 1, K).alias("sketch")), sets.select("id", "s"))
     shingle = sets.select("id", F.explode("s").alias("v"))
     hot = materialize(shingle.groupBy("v").agg(F.count("*").alias("df")).where(F.col("df") > LIST_PAIRS).select("v"), "hot")
     mine = shingle.join(hot, "v").groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("h"))
