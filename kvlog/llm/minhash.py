@@ -38,7 +38,7 @@ PIVOT_LISTS = 8
 ROUNDS = 5
 CROSS_LEAST = 8
 ESTIMATE_LEAST = 0.42
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 100_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -79,6 +79,13 @@ def _binary(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
 _FLIP = np.uint64(1 << 63)
 
 
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    """Sorted unsigned values as array<long>, in the same order."""
+    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array((flat ^ _FLIP).view(np.int64)))
+
+
 def _sketches(batches):
     words = _WordHashes()
     for batch in batches:
@@ -89,16 +96,16 @@ def _sketches(batches):
             s = shingle_set(text, words)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            sketches.append((s[:K] ^ _FLIP).view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "sketch"])
+            sketches.append(s[:K].copy())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(sketches)], names=["doc_id", "n", "digest", "sketch"])
 
 
 def _full_sets(batches):
     words = _WordHashes()
     for batch in batches:
         if batch.num_rows:
-            sets = [(shingle_set(t, words) ^ _FLIP).view(np.int64) for t in _binary(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+            sets = [shingle_set(t, words) for t in _binary(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(sets)], names=["id", "s"])
 
 
 def _ints(column) -> tuple[np.ndarray, np.ndarray]:
