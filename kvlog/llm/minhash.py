@@ -184,13 +184,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(docs.mapInArrow(_sketches, "doc_id long, n long, digest binary, sketch array<long>"), "sketch")
     owner = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    owner = materialize(owner, "owner")
+    n = rows.count()
+    owner = materialize(owner, "owner", n)
     same = (rows["digest"] == owner["digest"]) & (rows["doc_id"] == owner["id"])
     reps = rows.join(owner, same).select("id", "n", "sketch")
-    reps = materialize(reps, "reps")
+    reps = materialize(reps, "reps", 4 * n)  # rows of K values: fewer a file
     check = _Verifier(docs, reps)
     entries = reps.select("id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
-    df = materialize(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "df")
+    df = materialize(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "df", LISTED * n // 2)
     links = _confirm(check, _short_pairs(entries.join(df.where(F.col("df") <= LIST_PAIRS), "v")))
     links = materialize(links, "links")
     links = _long_lists(check, entries.join(df.where(F.col("df") > LIST_PAIRS), "v"), links)
@@ -202,7 +203,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _confirm(check: _Verifier, pairs: DataFrame) -> DataFrame:
-    likely = materialize(check.estimate(pairs).where(F.col("est") >= ESTIMATE_LEAST).select("a", "b"), "likely")
+    likely = check.estimate(pairs).where(F.col("est") >= ESTIMATE_LEAST).select("a", "b")
+    if check.stored is None:  # else the pairs are read once
+        likely = materialize(likely, "likely")
     return check.jaccard(likely).where("100 * inter >= 75 * uni").select("a", "b").distinct()
 
 
@@ -225,7 +228,7 @@ def _long_lists(check: _Verifier, long: DataFrame, links: DataFrame) -> DataFram
     """
     many = long.groupBy("id").agg(F.count("*").alias("hot"), F.first("n").alias("n"))
     many = many.where((F.col("hot") >= LONG_LEAST) | ((F.col("n") <= LISTED) & (4 * F.col("hot") >= 3 * F.col("n"))))
-    many = materialize(many.select("id"), "many")
+    many = materialize(many.select("id"), "many", check.sketches.count())
     if many.isEmpty():
         return links
     sets = materialize(check.sets(many).withColumn("n", F.size("s").cast("long")), "sets")
@@ -243,7 +246,7 @@ def _long_lists(check: _Verifier, long: DataFrame, links: DataFrame) -> DataFram
     lists = materialize(split.where("dominated").select("id", "n", "h", F.explode("top").alias("v")), "long")
     if lists.isEmpty():
         return links
-    done = None
+    done, n, known = None, lists.count(), links.count()
     # pairs that share a rare shingle are known; others share hot ones at most, which bounds their similarity
     size_fits = 4 * F.least("h", "ph") >= 3 * (F.greatest("h", "ph") + (F.col("n") - F.col("h")) + (F.col("pn") - F.col("ph")))
     for turn in range(ROUNDS):
@@ -252,10 +255,10 @@ def _long_lists(check: _Verifier, long: DataFrame, links: DataFrame) -> DataFram
         if turn:
             comp = components(links)
             members = lists.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-            members = materialize(members, "members")
+            members = materialize(members, "members", n)
             heads = members.groupBy("v", "c").agg(F.count("*").alias("m"))
             per = heads.groupBy("v").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("sq")).where("top.m < all")
-            per = materialize(per.select("v", F.col("top.c").alias("main"), (F.col("all") * F.col("all") - F.col("sq")).alias("cross"), "all"), "per")
+            per = materialize(per.select("v", F.col("top.c").alias("main"), (F.col("all") * F.col("all") - F.col("sq")).alias("cross"), "all"), "per", n)
             left = per.agg(F.sum("cross"), F.sum("all")).first()
             if left[0] is None:
                 return links
@@ -266,12 +269,13 @@ def _long_lists(check: _Verifier, long: DataFrame, links: DataFrame) -> DataFram
         else:
             free = members
         pivot = free.groupBy("v").agg(F.min(F.struct(order.alias("o"), "id", "n", "h")).alias("p")).select("v", F.col("p.id").alias("p"), F.col("p.n").alias("pn"), F.col("p.h").alias("ph"))
-        pivot = materialize(pivot, "pivot")
+        pivot = materialize(pivot, "pivot", n)
         own = pivot.select("v", F.col("p").alias("id"))
         done = own if done is None else done.unionByName(own)
         pairs = members.join(pivot, "v").where((F.col("id") != F.col("p")) & size_fits)
         pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        links = materialize(links.unionByName(_confirm(check, pairs)).distinct(), "links")
+        known += n  # at most one pair a member
+        links = materialize(links.unionByName(_confirm(check, pairs)).distinct(), "links", known)
     return links
 
 
@@ -280,4 +284,4 @@ def _across(check: _Verifier, members: DataFrame, links: DataFrame, size_fits) -
     outside = members.where("c <> main").select("v", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("h").alias("ph"), F.col("c").alias("pc"))
     pairs = members.join(outside, "v").where((F.col("c") != F.col("pc")) & size_fits)
     pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-    return links.unionByName(_confirm(check, pairs)).distinct()
+    return materialize(links.unionByName(_confirm(check, pairs)).distinct(), "links")

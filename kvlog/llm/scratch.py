@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 #: Rows of one Arrow batch between the JVM and Python while a table is written; both sides hold a whole batch.
 BATCH_ROWS = 500
+#: Rows of one file of a table of narrow rows whose size is bounded beforehand.
+FILE_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,9 +49,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
         spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
+def materialize(df: DataFrame, label: str, most: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
+
+    ``most`` bounds the rows, if the caller knows a bound; a small table then becomes few files and its last stage
+    few tasks, in proportion to the bound.
+    """
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(-(-most // FILE_ROWS) or 1)
     path = scratch_path(spark, label)
     with small_batches(spark):
         df.write.parquet(path)
