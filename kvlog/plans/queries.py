@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,11 @@ _add(
     lambda spark, d: visibility.multi_get(events_log(spark, d), spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key")).where("cast(key as int) % 3 = 0")),
     visible_sql("user_key IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 3 = 0)"),
 )
+_add(
+    "get08_multi_get_all",
+    lambda spark, d: visibility.multi_get(events_log(spark, d), spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"))),
+    visible_sql("user_key IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)"),
+)
 
 
 def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +83,29 @@ ORDERS_SQL = """, o AS (SELECT CAST(o_custkey AS VARCHAR) AS user_key, o_orderke
 _add("vis02_orders_latest", lambda spark, d: visibility.visible(orders_log(spark, d)), f"{ORDERS_SQL} {visible_sql(log='o')}")
 _add("vis02_conversations_latest", lambda spark, d: visibility.visible(spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").cast("string").alias("user_key"), F.col("turn").alias("seq"), F.lit(False).alias("tombstone"), F.col("text").alias("value"))), "SELECT CAST(conv_id AS VARCHAR) AS key, text AS value FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1")
 
+
+def _slices(log: DataFrame, n: int) -> list[DataFrame]:
+    """The whole log as n runs of equal sequence ranges, oldest first; only its greatest sequence reaches the driver."""
+    top = log.agg(F.max("seq")).first()[0] or 0
+    bounds = [-(-i * top // n) for i in range(n + 1)]
+    return [log.where(f"seq > {low} and seq <= {high}") for low, high in zip(bounds, bounds[1:])]
+
+
+def _prefix(log: DataFrame, trigger: int = 4) -> DataFrame:
+    """The oldest ``trigger`` runs of 1,000 sequences (all, if there are fewer) as one run."""
+    return visibility.merge([log.where(f"seq > {i * 1000} and seq <= {(i + 1) * 1000}") for i in range(trigger)])
+
+
+def _after_prefix(log: DataFrame, n: int = 8, trigger: int = 4) -> DataFrame:
+    """The whole log after the oldest ``trigger`` of its n runs became run 0; newer runs keep their numbers."""
+    found = _slices(log, n)
+    merged = [visibility.merge(found[:trigger]).withColumn("run_no", F.lit(0))]
+    return reduce(DataFrame.unionByName, merged + [r.withColumn("run_no", F.lit(i)) for i, r in enumerate(found) if i >= trigger])
+
+
 # Merge and integrity
 _on_log("mrg01_merged_history", lambda log: visibility.merge([log.where(f"seq > {i * 2500} and seq <= {(i + 1) * 2500}") for i in range(4)]), "SELECT * FROM log WHERE seq <= 10000")
+_on_log("mrg01_merged_history_all", lambda log: visibility.merge(_slices(log, 4)), "SELECT * FROM log")
 _add("mrg02_duplicate_versions", lambda spark, d: visibility.duplicates(spark.read.parquet(f"{d}/lineitem.parquet"), ("l_orderkey", "l_linenumber")), "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1", log=False)
 _on_log("wal_sequence_faults", lambda log: visibility.sequence_faults(log.select((F.col("seq") - F.col("seq") % 7).alias("seq")), 70), "SELECT seq, CASE WHEN seq <= 70 THEN 'floor' ELSE 'repeat' END AS fault FROM (SELECT seq - seq % 7 AS seq FROM log) GROUP BY seq HAVING seq <= 70 OR count(*) > 1")
 _on_log("wrt04_batch_validation", lambda log: log.groupBy((F.floor((F.col("seq") - 1) / 500)).cast("long").alias("batch")).agg(F.count("*").alias("operations"), F.max(F.octet_length("user_key")).cast("long").alias("longest_key"), F.max(F.octet_length("value")).cast("long").alias("longest_value"), F.sum((F.octet_length("user_key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long")).alias("bytes")), "SELECT (seq - 1) // 500 AS batch, count(*) AS operations, CAST(max(strlen(user_key)) AS BIGINT) AS longest_key, CAST(max(strlen(value)) AS BIGINT) AS longest_value, CAST(sum(strlen(user_key) + coalesce(strlen(value), 0)) AS BIGINT) AS bytes FROM log GROUP BY ALL")
@@ -86,7 +113,8 @@ _on_log("wrt10_version_steps", lambda log: log.groupBy("user_key").agg(F.count("
 
 # Retention
 _GC = f"SELECT user_key, seq, tombstone, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key, seq <= {W} ORDER BY seq DESC) AS r FROM log) WHERE seq > {W} OR r = 1"
-_on_log("cmp03_partial_prefix", lambda log: retention.prefix_merge(log.where("seq <= 4000")), "SELECT * FROM log WHERE seq <= 4000")
+_on_log("cmp03_partial_prefix", _prefix, "SELECT * FROM log WHERE seq <= 4000")
+_on_log("cmp03_partial_prefix_all", _after_prefix, "SELECT log.*, CAST(CASE WHEN (seq - 1) * 8 // m < 4 THEN 0 ELSE (seq - 1) * 8 // m END AS INTEGER) AS run_no FROM log, (SELECT max(seq) AS m FROM log)")
 _on_log("cmp04_gc_no_snapshot", retention.compact, "SELECT user_key, seq, tombstone, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1 AND NOT tombstone")
 _on_log("cmp05_gc_watermark", lambda log: retention.compact(log, W), _GC)
 _on_log("cmp06_retained", lambda log: retention.retained(log, W), f"SELECT count(*) AS versions, CAST(sum(strlen(user_key) + coalesce(strlen(value), 0)) AS BIGINT) AS bytes FROM ({_GC})")
