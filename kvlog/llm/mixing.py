@@ -4,7 +4,8 @@
 rest, which gets what is left and so keeps its inner proportions.  With N units in all and n units in a class of
 weight w, the class's mean repetition rate is ``scale * w * N / n``.  A document's copy number inverts the Poisson
 distribution at a uniform number taken from a hash of its id and the seed, so reruns and lost executors give the
-same copies.  Copies are then shuffled globally: a range exchange on a hash of (id, copy, seed), sorted inside.
+same copies.  A rate above 64 is dealt over several such draws of equal mean, each with a hash of its own; the sum of
+independent Poisson numbers is Poisson with the whole rate, so no target is cut.  Copies are then shuffled globally: a range exchange on a hash of (id, copy, seed), sorted inside.
 
 Only one row per named source (and one for the rest) ever reaches the driver, whatever the number of documents.
 The exchange key is a hash, so a source with a third of all rows spreads like any other.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 SEED = 17
 #: Production targets of the synthetic corpus: the hot source falls to a tenth, two small ones are raised.
 TARGETS = {"src0": 0.10, "src1": 0.08, "src2": 0.08}
-#: A class may not be repeated more often than this on average; beyond it the target asks for noise.
+#: Greatest mean of one draw.  The oracle makes one draw only, and so holds no rate above it.
 MAX_RATE = 64.0
 
 
@@ -51,15 +52,28 @@ def rates(docs: DataFrame, targets: dict[str, float], unit: str, scale: float, s
     kind = F.when(F.col(source).isin(list(targets)), F.col(source)) if targets else F.lit(None).cast("string")
     sums = {r[0]: r[1] or 0 for r in docs.groupBy(kind.alias("k")).agg(F.sum(units.cast("long"))).collect()}
     total = sum(sums.values())
-    rate = lambda w, n: min(MAX_RATE, scale * w * total / n) if n else 0.0
+    rate = lambda w, n: scale * w * total / n if n else 0.0
     return {k: rate(w, sums.get(k, 0)) for k, w in targets.items()}, rate(max(0.0, 1 - sum(targets.values())), sums.get(None, 0))
 
 
+def copy_number(rate: float, key: str, seed: int) -> Column:
+    """Poisson number of mean ``rate`` for a key: the sum of as few draws as hold MAX_RATE each at most."""
+    if rate <= 0:
+        return F.lit(0)
+    draws = max(1, math.ceil(rate / MAX_RATE))
+    steps = F.array(*[F.lit(x) for x in poisson_steps(rate / draws)])
+    draw = lambda u: F.size(F.filter(steps, lambda t: t <= u))
+    first = draw(F.col("__u"))
+    if draws == 1:
+        return first
+    more = F.sequence(F.lit(1), F.lit(draws - 1))
+    return F.aggregate(more, first, lambda n, k: n + draw(uniform(key, F.concat(F.lit(f"mix{seed}."), k.cast("string")))))
+
+
 def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, seed: int = SEED, unit: str = "chars", scale: float = 1.0, key: str = "doc_id", partitions: int | None = None) -> DataFrame:
     """All columns of ``docs`` plus copy_no (from 1) and mix_key, one row per copy, in global random order."""
     named, rest = rates(docs, targets, unit, scale)
-    u = F.col("__u")
-    count = lambda rate: F.size(F.filter(F.array(*[F.lit(x) for x in poisson_steps(rate)]), lambda t: t <= u)) if rate > 0 else F.lit(0)
+    count = lambda rate: copy_number(rate, key, seed)
     copies = count(rest)
     if named:
         chosen = None

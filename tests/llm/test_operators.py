@@ -70,6 +70,22 @@ def test_mixing(docs, empty):
     assert abs(mixing.poisson_steps(2.0)[-1] - 1) < 1e-12 and mixing.poisson_steps(0) == []
 
 
+@pytest.mark.parametrize("share", [0.5, 0.002])
+def test_mixing_above_one_draw(spark, share):
+    rows = [(i, "rare" if i < 4 else "big", "x" * 5 if i < 4 else "y" * 1000) for i in range(44)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    rate = share * 40_020 / 20
+    draws = max(1, -int(-rate // 64))
+    steps = mixing.poisson_steps(rate / draws)
+    assert mixing.rates(df, {"rare": share}, "chars", 1.0)[0]["rare"] == pytest.approx(rate)
+    got = {r[0]: r[1] for r in mixing.mix(df, {"rare": share}).where("source = 'rare'").groupBy("doc_id").count().collect()}
+    for i in range(4):
+        names = ["mix17"] + ["mix17.%d" % k for k in range(1, draws)]
+        us = [int(hashlib.md5(f"{i}:{x}".encode()).hexdigest()[:13], 16) / (1 << 52) for x in names]
+        assert got.get(i, 0) == sum(t <= u for u in us for t in steps)
+    assert abs(sum(got.values()) - 4 * rate) < 5 * (4 * rate) ** 0.5
+
+
 def test_licenses(spark, docs, empty):
     same(licenses.scan(docs), licenses.oracle(), documents=table())
     mit = "Copyright (c) 2020 Somebody\n\n" + licenses.KNOWN[1][1].upper().replace("SUBLICENSE", "sub-licence")
