@@ -20,15 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+_BLANK = r"[ \t\n\f\r]"
+#: Name and value of one attribute; a quote opens a string only at the start of a value.
+_PAIR = r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*)(?:B*=B*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^ \t\n\f\r>\"'][^ \t\n\f\r>]*)?)?".replace("B", _BLANK)
+_ATTR = re.compile(_PAIR)
+_PAIRS = re.sub(r"\((?!\?)", "(?:", _PAIR)
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^ \t\n\f\r/>]*)((?:[ \t\n\f\r/]|{_PAIRS})*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas svg math select".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl table pre figure fieldset hr".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas".split())
+#: Hidden inside svg or math only.
+FOREIGN = frozenset("svg math".split())
+HIDDEN_FOREIGN = frozenset("defs desc metadata symbol clippath annotation annotation-xml".split())
+#: Tags that leave a head open.
+METADATA = frozenset("head base basefont bgsound link meta title style script template noscript noframes".split())
+PRE = frozenset("pre listing xmp plaintext".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl table figure fieldset hr".split()) | PRE
 BLOCK = SPACED | frozenset("html body address article aside center dd details dialog dir div dt figcaption footer form header hgroup legend li main menu nav option optgroup search section summary tr caption thead tbody tfoot".split())
 CLOSES_P = BLOCK - frozenset("html body tr thead tbody tfoot caption option optgroup legend".split())
 #: Opening the key closes an open element of the value, unless one of the third stands between.
@@ -50,10 +60,10 @@ _P_SCOPE = frozenset("button td th caption table".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "foreign")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], foreign: bool = False):
+        self.tag, self.attrs, self.children, self.foreign = tag, attrs, [], foreign
 
 
 def parse(source: str) -> Node:
@@ -75,6 +85,8 @@ def parse(source: str) -> Node:
 
     def text(s: str) -> None:
         if s:
+            if stack[-1].tag == "head" and s.strip(" \t\n\f\r"):
+                stack.pop()
             stack[-1].children.append(entities.unescape(s) if "&" in s else s)
 
     while at < n:
@@ -108,26 +120,33 @@ def parse(source: str) -> Node:
                     break
                 if stack[i].tag in _P_SCOPE:
                     break
-        if tag in BLOCK and tag not in ("html", "body") and any(x.tag == "head" for x in stack[1:4]):
-            close({"head"}, set())
+        if stack[-1].tag == "head" and tag not in METADATA and tag != "html":
+            stack.pop()
         raw = m[3] or ""
         attrs = {}
         if raw.strip():
             for a in _ATTR.finditer(raw):
-                attrs.setdefault(a[1].lower(), entities.unescape((a[2] or "").strip("\"'")))
-        node = Node(tag, attrs)
+                value = a[2] or ""
+                if value[:1] in ("'", '"'):
+                    value = value[1:].removesuffix(value[0])
+                attrs.setdefault(a[1].lower(), entities.unescape(value))
+        foreign = tag in FOREIGN or stack[-1].foreign and stack[-1].tag != "foreignobject"
+        if foreign and tag in HIDDEN_FOREIGN:
+            attrs["hidden"] = ""
+        node = Node(tag, attrs, foreign)
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or (foreign and raw.endswith("/")):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
+            end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at) if tag != "plaintext" else None
             stop = end.start() if end else n
             if tag == "textarea":
                 node.children.append(entities.unescape(source[at:stop]))
+            elif tag in PRE:
+                node.children.append(source[at:stop])
             at = (source.find(">", stop) + 1 or n) if end else n
             continue
-        if not raw.rstrip().endswith("/") or tag in BLOCK or tag in ("a", "b", "i", "span"):
-            stack.append(node)
+        stack.append(node)
     return root
 
 
@@ -208,6 +227,28 @@ class _Out:
         return "\n".join(lines).strip("\n")
 
 
+def _placed(rows: list[list[tuple[str, int, int]] | None]) -> list[list[tuple[str, int]]]:
+    """Rows of (text, columns spanned) with blanks where a cell from above reaches down; None ends all such cells."""
+    out, down = [], {}
+    for r in rows:
+        if r is None:
+            down = {}
+            continue
+        line, at, new = [], 0, {}
+        for body, span, deep in r:
+            while at in down:
+                line.append(("", 1))
+                at += 1
+            line.append((body, span))
+            if deep > 1:
+                new |= dict.fromkeys(range(at, at + span), deep)
+            at += span
+        if r:
+            out.append(line)
+        down = {c: k - 1 for c, k in (down | new).items() if k > 1}
+    return out
+
+
 def _grid(rows: list[list[tuple[str, int]]]) -> str:
     """Cells (text, columns spanned) in aligned columns, two blanks apart; a cell may have several lines."""
     columns = max((sum(s for _, s in r) for r in rows), default=0)
@@ -242,7 +283,7 @@ def _number(value: str | None, default: int, most: int) -> int:
 def render(root: Node) -> str:
     out = _Out()
     outs: list[_Out] = []  # of tables around the current one
-    tables: list[list[list[tuple[str, int]]]] = []
+    tables: list[list[list[tuple[str, int, int]] | None]] = []
     lists: list[list] = []  # [ordered, next number, indent before]
     pre = 0
     todo: list = [(root, False)]
@@ -260,7 +301,7 @@ def render(root: Node) -> str:
                 continue
             if tag == "wbr":
                 continue
-            if tag in BLOCK:
+            if tag in BLOCK or tag == "text":
                 out.block(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)
             if tag in ("ul", "ol", "menu", "dir"):
                 lists.append([tag == "ol", _number(node.attrs.get("start"), 1, 10**8), out.indent])
@@ -269,16 +310,18 @@ def render(root: Node) -> str:
                 own = lists[-1] if lists else [False, 1, ""]
                 out.marker = f"{own[1]}. " if own[0] else "- "
                 own[1] += 1
-            elif tag == "pre":
+            elif tag in PRE:
                 pre += 1
             elif tag == "table":
                 outs.append(out)
                 tables.append([])
                 out = _Out()
+            elif tag in ("thead", "tbody", "tfoot") and tables:
+                tables[-1].append(None)
             elif tag == "tr" and tables:
                 tables[-1].append([])
             elif tag in ("td", "th") and tables:
-                if not tables[-1]:
+                if not tables[-1] or tables[-1][-1] is None:
                     tables[-1].append([])
                 outs.append(out)
                 out = _Out()
@@ -286,23 +329,24 @@ def render(root: Node) -> str:
             todo += [(c, False) for c in reversed(node.children)]
             continue
         if tag in ("td", "th") and tables:
-            tables[-1][-1].append((out.done(), _number(node.attrs.get("colspan"), 1, 1000)))
+            deep = node.attrs.get("rowspan")
+            tables[-1][-1].append((out.done(), _number(node.attrs.get("colspan"), 1, 1000), 65534 if deep == "0" else _number(deep, 1, 65534)))
             out = outs.pop()
         elif tag == "table":
             caption = out.done()
             out = outs.pop()
-            grid = _grid([r for r in tables.pop() if r])
+            grid = _grid(_placed(tables.pop()))
             for body in (caption, grid):
                 if body.strip():
                     out.block(1)
                     out.raw(body)
-        elif tag == "pre":
+        elif tag in PRE:
             pre -= 1
         elif tag in ("ul", "ol", "menu", "dir"):
             out.indent = lists.pop()[2]
         elif tag == "li":
             out.marker = ""
-        if tag in BLOCK:
+        if tag in BLOCK or tag == "text":
             out.block(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)
     return out.done()
 

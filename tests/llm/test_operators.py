@@ -225,6 +225,21 @@ def test_html():
     assert text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_keeps_all_visible_text():
+    text = html_text.page_text
+    assert text("<p class=it's>Hello <b>world's</b> end") == "Hello world's end"
+    assert text('<a href="x"">link</a> <a title=\'a>b\' href="c>d">two</a>') == "link two"
+    assert text("<i data-a='\"' hidden>no</i>yes<!-->and<!-- no -->more") == "yesandmore"
+    assert text("<svg><title>no</title><defs><text>no</text></defs><style/><text>a</text><text>b</text></svg>") == "a\nb"
+    assert text("<math><mi>x</mi><annotation>no</annotation></math>") == "x"
+    assert text("<select><option>a<option>b</select>") == "a\nb"
+    assert text("<xmp><b>&amp;</b></xmp>c") == "<b>&amp;</b>\n\nc" and text("a<plaintext><b></plaintext>") == "a\n\n<b></plaintext>"
+    assert text("<head><title>no</title>Hello") == text("<head><meta charset=x><b>Hello</b>") == "Hello"
+    assert text("<head><template><div>no</div></template><p>yes") == "yes"
+    assert text("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+    assert text("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+
+
 def test_language(spark, empty):
     en, de = "the house with that and thing", "der und nicht schön ein haus"
     rows = [(i, " ".join(RNG.sample((en if i % 2 else de).split(), 5)), "en" if i % 2 else "de") for i in range(200)]
