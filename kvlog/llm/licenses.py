@@ -10,6 +10,8 @@ alike; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +68,46 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
-# A line that opens so is a copyright line.
-COPYRIGHT_LINE = r"(?mi)^[\s/*#;-]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+_BSD3 = _BSD2.replace("\nTHIS SOFTWARE", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE")
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
+#: Texts beyond those of the oracle, which holds KNOWN only; whole texts of the folder come with and without their
+#: appendix on how to apply them.
+MORE = (
+    ("MIT", "The MIT License (MIT)\n" + _MIT),
+    ("MIT", "The MIT License\n" + _MIT),
+    ("ISC", "The ISC License\n" + _ISC),
+    ("BSD-2-Clause", _BSD2.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ")),
+    *[("BSD-3-Clause", head + x) for x in (_BSD3, _BSD3.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* ")) for head in ("", "BSD 3-Clause License\n")],
+    ("Unlicense", _UNLICENSE),
+)
+_FOLDER = Path(__file__).with_name("license_texts")
+FILES = (
+    ("Apache-2.0", "Apache-2.0"),
+    ("CC0-1.0", "CC0-1.0"),
+    ("GPL-2.0-only", "GPL-2"),
+    ("GPL-3.0-only", "GPL-3"),
+    ("LGPL-2.1-only", "LGPL-2.1"),
+    ("LGPL-3.0-only", "LGPL-3"),
+    ("MPL-2.0", "MPL-2.0"),
+)
+_END = "END OF TERMS AND CONDITIONS"
+
+# A copyright line opens so and goes on with a sign, a year, a placeholder or a capitalised holder.
+_NO_HOLDER = r"(?!(?i:notices?|holders?|owners?|licen[cs]es?|laws?|statements?|disclaimers?|interests?|and|or|in|to|of|is|on|the\s+above)\b)"
+COPYRIGHT_LINE = rf"(?m)^[\s/*#;-]*(?:(?i:copyright)[ \t]*:?[ \t]*(?:(?i:\(c\)|©|&copy;)|(?i:by)[ \t]+\p{{Lu}}|[<\[{{]|\d{{4}}\b|(?<=[ \t]){_NO_HOLDER}\p{{Lu}})[^\n]*|(?:\([cC]\)|©)[ \t]*(?i:copyright\b|\d{{4}}\b|[<\[{{])[^\n]*|(?i:all rights reserved)[ \t\r.]*)$"
+#: That of the oracle: any line that opens with these words.
+SQL_COPYRIGHT_LINE = r"(?mi)^[\s/*#;-]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+
+
+def known_texts() -> tuple[tuple[str, str], ...]:
+    """KNOWN, MORE and the whole texts of the folder."""
+    whole = [(k, (_FOLDER / f"{f}.txt").read_text("utf-8")) for k, f in FILES]
+    cut = [(k, t[: t.index(_END) + n]) for k, t in whole if _END in t for n in (0, len(_END))]
+    return KNOWN + MORE + tuple(whole + cut)
 
 
 def canonical(text: Column) -> Column:
@@ -83,9 +123,9 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """One row per distinct digest; its size is that of the parameter, never of the corpus."""
-    df = spark.createDataFrame([(k, t) for k, t in known], "license string, body string")
+    df = spark.createDataFrame([(k, t) for k, t in known or known_texts()], "license string, body string")
     return df.groupBy(digest(F.col("body")).alias("digest")).agg(F.min("license").alias("license"))
 
 
@@ -111,7 +151,7 @@ def scan_lines(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def _sql_canonical(x: str) -> str:
-    c = f"' ' || trim(regexp_replace(lower(regexp_replace(coalesce({x}, ''), '{COPYRIGHT_LINE}', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    c = f"' ' || trim(regexp_replace(lower(regexp_replace(coalesce({x}, ''), '{SQL_COPYRIGHT_LINE}', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
     for variant, form in SPELLINGS:
         c = f"replace({c}, ' {variant} ', ' {form} ')"
     return f"trim({c})"

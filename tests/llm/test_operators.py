@@ -95,6 +95,26 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_in_their_usual_form(spark):
+    import textwrap
+
+    wrapped = lambda body, n: "\n".join(textwrap.fill(x, n) for x in body.split("\n"))
+    head = "Copyright (c) 2020, Some Body <a@b.c>\nAll rights reserved.\n\n"
+    isc = "ISC License\n\nCopyright 2004 Some Holder\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n" + textwrap.fill(licenses._ISC.split("\n")[1], 75)
+    texts = [("ISC", isc)]
+    texts += [(k, head + wrapped(body, n)) for k, body in (("ISC", licenses._ISC), ("MIT", licenses._MIT), ("BSD-2-Clause", licenses._BSD2), ("BSD-3-Clause", licenses._BSD3), ("Unlicense", licenses._UNLICENSE)) for n in range(60, 81)]
+    for k, f in licenses.FILES:
+        body = (licenses._FOLDER / f"{f}.txt").read_text("utf-8")
+        texts += [(k, body), (k, body.replace("\n   ", "\n").replace("https:", "http:"))]
+    texts += [(None, "copyright notice"), (None, "Copyright Some Holder")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    assert [r["license"] for r in licenses.scan(df).orderBy("doc_id").collect()] == [k for k, _ in texts]
+    lines = ["Copyright 2020 X", "Copyright: 2020 X", "(c) 2020 X", "© 2020", "# Copyright Some Holder", "Copyright <year> <owner>", "COPYRIGHT (C) X", "all rights reserved."]
+    prose = ["copyright notice and this", "COPYRIGHT HOLDERS BE LIABLE", "(c) You must retain", "copyright license to", "Copyright law", "All rights reserved words grant nothing"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(lines + prose)], "i long, t string").select("i", licenses.canonical(licenses.F.col("t")).alias("c")).orderBy("i").collect()
+    assert [r["c"] == "" for r in got] == [True] * len(lines) + [False] * len(prose)
+
+
 def components(rows):
     sets = {}
     for i, t in rows:
