@@ -155,11 +155,16 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet")
 
 
+def _both_ways(live: DataFrame, model: DataFrame) -> DataFrame:
+    """Rows of either side that the other lacks."""
+    return live.exceptAll(model).unionByName(model.exceptAll(live))
+
+
 _PICK = "list_extract(list_sort(list(value)), CAST(ceil({} * (count(value) - 1)) AS BIGINT) + 1) AS {}"
 _add("met08_latency_percentiles", lambda spark, d: metrics.latency(_events(spark, d), "value", ["event_type"]), "SELECT event_type, count(value) AS operations, " + ", ".join(_PICK.format(p, n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))) + " FROM events WHERE value IS NOT NULL GROUP BY event_type", log=False)
 _add("met09_ops_per_window", lambda spark, d: _events(spark, d).groupBy(F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("kind")).agg(F.count("*").alias("operations"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "kind", "operations", F.round("total", 4).alias("total")), "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type AS kind, count(*) AS operations, round(sum(value), 4) AS total FROM events GROUP BY ALL", log=False)
 _add("met10_op_counts", lambda spark, d: metrics.operation_counts(_events(spark, d), "event_type", F.col("value") > 50), "SELECT event_type AS kind, count(*) AS operations, count(*) FILTER (WHERE value > 50) AS errors FROM events GROUP BY 1", log=False)
-_add("met12_live_vs_model", lambda spark, d: (lambda log: visibility.visible(log).exceptAll(visibility.visible(log, form="hash")))(events_log(spark, d)), "SELECT user_key AS key, value FROM log WHERE FALSE")
+_add("met12_live_vs_model", lambda spark, d: _both_ways(visibility.visible(events_log(spark, d)), visibility.visible(events_log(spark, d), form="hash")), "SELECT user_key AS key, value FROM log WHERE FALSE")
 _add("met15_event_page", lambda spark, d: _events(spark, d).where("event_id < 5000").orderBy(F.desc("event_id")).limit(101).select("event_id", "event_type"), "SELECT event_id, event_type FROM events WHERE event_id < 5000 ORDER BY event_id DESC LIMIT 101", log=False)
 _add("met20_stability_gate", lambda spark, d: metrics.stability(*[_events(spark, d).where(f"event_id % 2 = {k}").groupBy(F.col("event_type").alias("name")).agg(F.count("*").cast("double").alias("value")) for k in (0, 1)]), """, a AS (SELECT event_type AS name, CAST(count(*) AS DOUBLE) AS a FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS name, CAST(count(*) AS DOUBLE) AS b FROM events WHERE event_id % 2 = 1 GROUP BY 1), j AS (SELECT coalesce(a.name, b.name) AS name, a, b, CASE WHEN (a + b) / 2 = 0 THEN 0 ELSE abs(a - b) / sqrt(2) / ((a + b) / 2) * 100 END AS cv_percent FROM a FULL JOIN b ON a.name = b.name)
 SELECT name, a, b, cv_percent, coalesce(cv_percent <= 10, FALSE) AS ok FROM j""")

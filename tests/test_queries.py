@@ -58,3 +58,11 @@ def test_merges_and_multi_get_take_every_row(spark, tmp_path):
     assert len(prefix) == 4000 and prefix == sorted(prefix)
     newest = {e % 50: e for e in range(12_345)}
     assert sorted((r["key"], r["value"]) for r in ask("get08_multi_get_all")) == sorted((str(u), str(e)) for u, e in newest.items() if e % 7)
+
+
+def test_live_check_sees_rows_missing_on_either_side(spark, monkeypatch):
+    visible = queries.visibility.visible
+    gone = visible(queries.events_log(spark, SF)).first()["key"]
+    for broken in ("rank", "hash"):
+        monkeypatch.setattr(queries.visibility, "visible", lambda log, form="rank": visible(log, form=form).where(f"key <> '{gone}'") if form == broken else visible(log, form=form))
+        assert [r["key"] for r in queries.queries()["met12_live_vs_model"](spark, SF).collect()] == [gone]
