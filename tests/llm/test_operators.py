@@ -144,6 +144,46 @@ def test_near_duplicates(spark, docs, empty, limits, monkeypatch):
         assert minhash.near_duplicates(empty).count() == 0
 
 
+def near_copies(n, seed=5):
+    """Near copies of one text of 100 words with 2 or 3 words replaced, around similarity 0.75."""
+    r = random.Random(seed)
+    base = ["b%d" % i for i in range(100)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for k in r.sample(range(100), r.choice((2, 3))):
+            words[k] = "e%d" % r.randrange(30)
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{}, {"LIST_MEMBERS": 40}, {"LIST_MEMBERS": 40, "LEVELS": 1}, {"LIST_MEMBERS": 40, "LEVELS": 0, "BLOCK": 7}])
+def test_near_copies_around_the_threshold(spark, limits, monkeypatch):
+    for k, v in limits.items():
+        monkeypatch.setattr(minhash, k, v)
+    rows = near_copies(250)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(rows)
+
+
+def test_compared_pairs_grow_with_the_group_only(spark, monkeypatch):
+    counts = []
+    compared = minhash._Verifier.estimate
+
+    def counted(self, pairs):
+        counts[-1] += pairs.count()
+        return compared(self, pairs)
+
+    monkeypatch.setattr(minhash._Verifier, "estimate", counted)
+    for n in (300, 600, 1200):
+        counts.append(0)
+        rows = near_copies(n)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        if n == 300:
+            assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(rows)
+    assert counts[1] <= 1.2 * 2 * counts[0] and counts[2] <= 1.2 * 2 * counts[1]
+
+
 def repeats(rows):
     low, out = {}, {}
     for i, t in sorted(rows, key=lambda r: r[0]):
