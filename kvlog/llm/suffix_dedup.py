@@ -7,14 +7,16 @@ window's bytes alone, so equal windows have equal fingerprints, and neighbouring
 of windows with one fingerprint is a *segment*.  Documents are dealt once to groups by a hash of their id; all
 steps reuse that one exchange:
 
-1. each group lists its fingerprints; buckets of fingerprints find those of two or more documents, and of these the
-   ones whose segments are copies of one another: copies are pre-aggregated to their smallest doc_id;
-2. each group sends its segments under the other fingerprints, every distinct one once with its smallest doc_id, to
-   the shard of the fingerprint.  A fingerprint of very many documents is salted over several shards;
-3. each shard builds a suffix array (Larsson-Sadakane refinement, up to the window length), common prefixes
-   (Kasai, all segments in step) and from them the classes of equal windows with their smallest doc_id.  Salted
-   shards then merge their sorted class lists by binary search;
-4. each group marks windows that have a smaller doc_id than their own document and cuts the bytes.
+1. each group lists its fingerprints; buckets of fingerprints find those of two or more documents;
+2. each group names its segments under these, every distinct one once with its smallest doc_id.  A bucket picks, for
+   each distinct segment, the group of the smallest doc_id: that one sends the bytes to the shard of the fingerprint,
+   the others only their claim (digest and smallest doc_id).  A fingerprint of very many documents is salted over
+   several shards, and every group sends its segments there;
+3. each shard builds a suffix array (Larsson-Sadakane refinement, up to the window length) of all its segments,
+   common prefixes (Kasai, all segments in step) and from them the classes of equal windows with their smallest
+   doc_id.  Salted shards then merge their sorted class lists by binary search;
+4. each group marks windows that have a smaller doc_id than their own document and cuts the bytes.  Copies of a
+   segment inside a group share the answer of the first one.
 
 Memory: a group holds GROUP_BYTES of text (or one longer document), a shard about SHARD_BYTES of segments.  Rows
 between steps are packed arrays, one per (group, bucket), so a frequent string costs one entry a group.
@@ -43,15 +45,16 @@ CHUNK = 1 << 18
 RUN = 32
 #: Fingerprints of more than 2 ** HOT distinct segments or so are salted.
 HOT = 9
-MERGE_BITS = 8
+#: Windows of salted shards are merged in at least so many buckets, and more as the data grow.
+MERGE_LEAST = 256
 _BIG = np.iinfo(np.int64).max
 _U = np.uint64
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MASK64 = (1 << 64) - 1
 
 
-_ROUTE = pa.schema([("kind", pa.string()), ("to", pa.int32()), ("f", pa.binary()), ("d", pa.binary()), ("m", pa.binary()), ("g", pa.binary())])
-_ROUTE_SQL = "kind string, to int, f binary, d binary, m binary, g binary"
+_ROUTE = pa.schema([("kind", pa.string()), ("to", pa.int32()), ("f", pa.binary()), ("d", pa.binary()), ("m", pa.binary()), ("g", pa.binary()), ("s", pa.binary())])
+_ROUTE_SQL = "kind string, to int, f binary, d binary, m binary, g binary, s binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -128,11 +131,13 @@ def _segments(b: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 
 class _Group:
-    """The texts of one group as one byte array, with their segments."""
+    """The texts of one group as one byte array in the order of their ids, with their segments."""
 
     def __init__(self, table: pa.Table):
-        self.ids = table.column("doc_id").fill_null(_BIG).to_numpy().astype(np.int64) if table.num_rows else np.empty(0, np.int64)
-        texts = [x or b"" for x in table.column("body").to_pylist()]
+        ids = table.column("doc_id").fill_null(_BIG).to_numpy().astype(np.int64) if table.num_rows else np.empty(0, np.int64)
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.table = ids[order], table.take(pa.array(order)) if len(order) else table
+        texts = [x or b"" for x in self.table.column("body").to_pylist()]
         size = np.array([len(x) for x in texts], np.int64)
         self.ends = np.cumsum(size)
         self.starts = self.ends - size
@@ -140,12 +145,26 @@ class _Group:
         self.i, self.n, self.text, self.f, self.d = _segments(self.bytes, self.starts, self.ends)
         self.id = self.ids[self.text] if len(self.text) else np.empty(0, np.int64)
 
-    def distinct(self):
-        """Segment order by (fingerprint, digest, id) and the places where a new (fingerprint, digest) begins."""
-        order = np.lexsort((self.id, self.d, self.f))
-        f, d = self.f[order], self.d[order]
-        new = np.flatnonzero(np.concatenate(([True], (f[1:] != f[:-1]) | (d[1:] != d[:-1])))) if len(f) else np.empty(0, np.int64)
-        return order, new
+    def distinct(self, among: np.ndarray):
+        """Of the segments in ``among`` (ascending): their order by (fingerprint, digest, id), and the places where a
+        new (fingerprint, digest) begins."""
+        order = among[np.lexsort((self.d[among], self.f[among]))]  # stable, and segments lie in the order of ids
+        return order, _starts(self.f[order], self.d[order])
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the row before."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in columns], axis=0))))
+
+
+def _among(values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of ``x`` in the sorted ``values``, -1 where absent."""
+    if not len(values):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+    return np.where(values[at] == x, at, -1)
 
 
 def _packed(keys: np.ndarray, parts: int, columns: list[np.ndarray]):
@@ -161,9 +180,9 @@ def _packed(keys: np.ndarray, parts: int, columns: list[np.ndarray]):
 def _list_fingerprints(bits: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         g = _Group(table)
-        order = np.lexsort((g.id, g.f))
+        order = np.argsort(g.f, kind="stable")
         f, ids = g.f[order], g.id[order]
-        new_f = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1]))) if len(f) else np.empty(0, np.int64)
+        new_f = _starts(f)
         new_id = np.concatenate(([True], (f[1:] != f[:-1]) | (ids[1:] != ids[:-1]))).astype(np.int64) if len(f) else np.empty(0, np.int64)
         docs = np.add.reduceat(new_id, new_f) if len(f) else new_id
         level = np.minimum(15, np.ceil(np.log2(np.maximum(1, docs)))).astype(np.uint64)
@@ -195,13 +214,9 @@ def _pick(g: _Group, f: np.ndarray, level: np.ndarray):
     """The first segment of each (fingerprint, digest) of the group whose fingerprint is listed, and its level."""
     order = np.argsort(f, kind="stable")
     f, level = f[order], level[order]
-    by, new = g.distinct()
-    first = by[new]
-    if not len(f):
-        return first[:0], np.empty(0, np.int64)
-    at = np.minimum(np.searchsorted(f, g.f[first]), len(f) - 1)
-    hit = f[at] == g.f[first]
-    return first[hit], level[at[hit]].astype(np.int64)
+    at = _among(f, g.f)
+    by, new = g.distinct(np.flatnonzero(at >= 0))
+    return by[new], level[at[by[new]]].astype(np.int64)
 
 
 def _listed(table: pa.Table, fs: str, levels: str) -> tuple[np.ndarray, np.ndarray]:
@@ -209,42 +224,47 @@ def _listed(table: pa.Table, fs: str, levels: str) -> tuple[np.ndarray, np.ndarr
 
 
 def _head_segments(buckets: int):
-    """Digests and smallest ids of segments, without their bytes; of a frequent fingerprint only its name."""
+    """Digests, smallest ids and sizes of segments, without their bytes; of a frequent fingerprint only its name."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, shared: pa.Table) -> pa.Table:
         g = _Group(texts)
         first, lv = _pick(g, *_listed(shared, "f", "level"))
-        hot = lv > HOT
-        again = np.append(False, (g.f[first][1:] == g.f[first][:-1]))  # first is sorted by fingerprint
-        keep = ~(hot & again)
+        again = np.append(False, (g.f[first][1:] == g.f[first][:-1]))[: len(first)]  # first is sorted by fingerprint
+        keep = ~((lv > HOT) & again)
         first, lv = first[keep], lv[keep]
         bucket = (_mix(g.f[first]) % _U(buckets)).astype(np.int64)
-        keys, (fs, ds, ids, lvs) = _packed(bucket, buckets, [g.f[first], g.d[first], g.id[first], lv.astype(np.uint8)])
+        size = (g.n[first] + WINDOW - 1).astype(np.uint8)
+        keys, (fs, ds, ids, lvs, sizes) = _packed(bucket, buckets, [g.f[first], g.d[first], g.id[first], lv.astype(np.uint8), size])
         b = pa.binary()
-        return pa.table({"bucket": pa.array(keys), "g": pa.array(np.full(len(keys), key[0].as_py(), np.int32)), "f": pa.array(fs, b), "d": pa.array(ds, b), "id": pa.array(ids, b), "level": pa.array(lvs, b)})
+        return pa.table({"bucket": pa.array(keys), "g": pa.array(np.full(len(keys), key[0].as_py(), np.int32)), "f": pa.array(fs, b), "d": pa.array(ds, b), "id": pa.array(ids, b), "level": pa.array(lvs, b), "size": pa.array(sizes, b)})
 
     return run
 
 
-def _resolve(hot_level: int):
-    """Fingerprints under which all segments are equal: groups hear of those that have a smaller id elsewhere.  The
-    others, and frequent ones, have to be shipped."""
+def _resolve(hot_level: int, shards: int):
+    """Who sends which segment.  Of each distinct segment the group with its smallest id is told to send the bytes
+    ("ship", f and d); claims of the other groups go to the shard at once ("claim": d, id in m, size in s).  A
+    frequent fingerprint is sent by every group that has it ("all")."""
 
     def run(table: pa.Table) -> pa.Table:
         f, d, ids = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("f", np.uint64), ("d", np.uint64), ("id", np.int64)))
-        raw = table.column("level").to_pylist()
-        lv, g = np.frombuffer(b"".join(raw), np.uint8), np.repeat(table.column("g").to_numpy(), [len(x) for x in raw])
-        order = np.argsort(f, kind="stable")
-        f, d, ids, lv, g = f[order], d[order], ids[order], lv[order], g[order]
-        new = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
-        count = np.diff(np.append(new, len(f)))
-        single = (np.minimum.reduceat(d, new) == np.maximum.reduceat(d, new)) & (lv[new] <= hot_level)
-        least = np.repeat(np.minimum.reduceat(ids, new), count)
-        single = np.repeat(single, count)
+        lv, size = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8) for c in ("level", "size"))
+        g = np.repeat(table.column("g").to_numpy(), [len(x) for x in table.column("level").to_pylist()])
+        hot = lv > hot_level
         out = []
-        for kind, rows in (("whole", single & (ids > least)), ("ship", ~single)):
-            groups, (fs, lvs) = _packed(g[rows].astype(np.int64), 0, [f[rows], lv[rows]])
-            out += [{"kind": kind, "to": int(k), "f": x, "d": y} for k, x, y in zip(groups, fs, lvs)]
+        groups, (fs, lvs) = _packed(g[hot].astype(np.int64), 0, [f[hot], lv[hot]])
+        out += [{"kind": "all", "to": int(k), "f": x, "d": y} for k, x, y in zip(groups, fs, lvs)]
+        f, d, ids, size, g = (x[~hot] for x in (f, d, ids, size, g))
+        order = np.lexsort((g, ids, d, f))
+        f, d, ids, size, g = (x[order] for x in (f, d, ids, size, g))
+        least = np.zeros(len(f), bool)
+        least[_starts(f, d)] = True
+        groups, (fs, ds) = _packed(g[least].astype(np.int64), 0, [f[least], d[least]])
+        out += [{"kind": "ship", "to": int(k), "f": x, "d": y} for k, x, y in zip(groups, fs, ds)]
+        f, d, ids, size, g = (x[~least] for x in (f, d, ids, size, g))
+        shard = (_mix(f) % _U(shards)).astype(np.int64)
+        groups, rows = _packed(shard, 0, [f, d, ids, g.astype(np.int32), size])
+        out += [{"kind": "claim", "to": int(k), "f": x, "d": y, "m": z, "g": w, "s": v} for k, x, y, z, w, v in zip(groups, *rows)]
         return pa.Table.from_pylist(out, schema=_ROUTE)
 
     return run
@@ -253,13 +273,17 @@ def _resolve(hot_level: int):
 def _ship_segments(shards: int):
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, news: pa.Table) -> pa.Table:
         g = _Group(texts)
-        first, lv = _pick(g, *_listed(news.filter(pa.compute.equal(news.column("kind"), "ship")) if news.num_rows else news, "f", "d"))
+        f, d, _ = _route(news, "ship")
+        hot_f, hot_lv = _listed(_of_kind(news, "all"), "f", "d")
+        first, lv = _pick(g, np.concatenate((f, hot_f)), np.concatenate((np.zeros(len(f), np.uint8), hot_lv)))
+        chosen = (lv > HOT) | np.isin(_mix(g.f[first]) + g.d[first], _mix(f) + d)
+        first, lv = first[chosen], lv[chosen]
         salt = g.d[first] & ((_U(1) << np.maximum(0, lv - HOT).astype(np.uint64)) - _U(1))
         shard = (_mix(g.f[first] + salt) % _U(shards)).astype(np.int64)
         size = (g.n[first] + WINDOW - 1).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         first, size, hot = first[order], size[order], (lv > HOT)[order]
-        keys, (fs, ds, ids, sizes, hots) = _packed(shard[order], shards, [g.f[first], g.d[first], g.id[first], size.astype(np.uint8), hot.astype(np.uint8)])
+        keys, (fs, ds, ids, sizes, hots) = _packed(shard[order], shards, [g.f[first], g.d[first], g.id[first], size.astype(np.uint8), hot.astype(np.uint8) + np.uint8(1)])
         ends = np.cumsum(size)
         place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(g.i[first], size)
         data, cut, at = g.bytes[place].tobytes(), [0], 0
@@ -268,7 +292,8 @@ def _ship_segments(shards: int):
             cut.append(at)
         bodies = [data[a:b] for a, b in zip(cut, cut[1:])]
         b = pa.binary()
-        return pa.table({"shard": pa.array(keys), "g": pa.array(np.full(len(keys), key[0].as_py(), np.int32)), "f": pa.array(fs, b), "d": pa.array(ds, b), "id": pa.array(ids, b), "size": pa.array(sizes, b), "hot": pa.array(hots, b), "body": pa.array(bodies, b)})
+        own = [np.full(len(x), key[0].as_py(), np.int32).tobytes() for x in sizes]
+        return pa.table({"shard": pa.array(keys), "g": pa.array(own, b), "f": pa.array(fs, b), "d": pa.array(ds, b), "id": pa.array(ids, b), "size": pa.array(sizes, b), "hot": pa.array(hots, b), "body": pa.array(bodies, b)})
 
     return run
 
@@ -335,17 +360,25 @@ def common_prefixes(b: np.ndarray, rest: np.ndarray, starts: np.ndarray, sa: np.
     return lcp
 
 
-def _classes(table: pa.Table) -> pa.Table:
+def _classes(buckets: int):
     """The shard step.  Sends masks of repeated windows to groups; for salted fingerprints, windows to merge."""
-    col = {c: table.column(c).to_pylist() for c in ("f", "d", "id", "size", "hot", "body")}
-    f, d, ids = (np.frombuffer(b"".join(col[c]), t) for c, t in (("f", np.uint64), ("d", np.uint64), ("id", np.int64)))
-    size, hot = (np.frombuffer(b"".join(col[c]), np.uint8) for c in ("size", "hot"))
+
+    def run(table: pa.Table) -> pa.Table:
+        return _shard(table, buckets)
+
+    return run
+
+
+def _shard(table: pa.Table, buckets: int) -> pa.Table:
+    """``hot`` says what a row is: 0 a claim without bytes, 1 a segment, 2 a segment of a salted fingerprint."""
+    f, d, ids, g, size, hot = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("f", np.uint64), ("d", np.uint64), ("id", np.int64), ("g", np.int32), ("size", np.uint8), ("hot", np.uint8)))
     size = size.astype(np.int64)
-    g = np.repeat(table.column("g").to_numpy(), [len(x) // 8 for x in col["f"]])
-    body = np.frombuffer(b"".join(col["body"]), np.uint8)
-    begin = np.cumsum(size) - size
-    order = np.lexsort((ids, d, f))  # one copy of each segment is enough
-    new = np.concatenate(([True], (f[order][1:] != f[order][:-1]) | (d[order][1:] != d[order][:-1])))
+    body = np.frombuffer(b"".join(x or b"" for x in table.column("body").to_pylist()), np.uint8)
+    sent = np.where(hot > 0, size, 0)
+    begin = np.cumsum(sent) - sent
+    order = np.lexsort((hot == 0, ids, d, f))  # one copy of each segment is enough; the smallest id has the bytes
+    new = np.zeros(len(order), bool)
+    new[_starts(f[order], d[order])] = True
     unit = np.empty(len(order), np.int64)
     unit[order] = np.cumsum(new) - 1
     first = order[new]
@@ -370,7 +403,7 @@ def _classes(table: pa.Table) -> pa.Table:
     pick = np.flatnonzero(smaller)
     groups, (fs, ds, ms) = _packed(g[pick].astype(np.int64), 0, [f[pick], d[pick], smaller[pick]])
     out = [{"kind": "mask", "to": int(k), "f": x, "d": y, "m": z} for k, x, y, z in zip(groups, fs, ds, ms)]
-    rows = np.flatnonzero(hot)
+    rows = np.flatnonzero(hot == 2)
     if len(rows):
         count = size[rows] - WINDOW + 1
         row = np.repeat(rows, count)
@@ -380,13 +413,11 @@ def _classes(table: pa.Table) -> pa.Table:
         h1, h2, low, to = h1[order], h2[order], low_at[pos][order], g[row][order]
         new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (to[1:] != to[:-1])))
         h1, h2, low, to = h1[new], h2[new], low[new], to[new].astype(np.int64)
-        keys, lists = _packed((h1 >> _U(64 - MERGE_BITS)).astype(np.int64), 1 << MERGE_BITS, [h1, h2, low, to])
+        keys, lists = _packed((h1 % _U(buckets)).astype(np.int64), buckets, [h1, h2, low, to])
         out += [{"kind": "window", "to": int(k), "f": x, "d": y, "m": z, "g": w} for k, x, y, z, w in zip(keys, *lists)]
     return pa.Table.from_pylist(out, schema=_ROUTE)
 
 
-
-
 def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Masks go on to their groups.  Sorted window lists of salted shards are merged: each list's windows are found
     in the union by binary search; a group hears of a window if another shard has it under a smaller id."""
@@ -414,47 +445,55 @@ def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_ROUTE)
 
 
+def _of_kind(table: pa.Table, kind: str) -> pa.Table:
+    return table.filter(pa.compute.equal(table.column("kind"), kind)) if table.num_rows else table
+
+
 def _route(table: pa.Table, kind: str) -> list[np.ndarray]:
-    t = table.filter(pa.compute.equal(table.column("kind"), kind)) if table.num_rows else table
-    return [np.frombuffer(b"".join(x or b"" for x in t.column(c).to_pylist()), d) if kind != "whole" or c == "f" else None for c, d in (("f", np.uint64), ("d", np.uint64), ("m", np.int64))]
+    t = _of_kind(table, kind)
+    return [np.frombuffer(b"".join(x or b"" for x in t.column(c).to_pylist()), d) for c, d in (("f", np.uint64), ("d", np.uint64), ("m", np.int64))]
 
 
 def _removed(g: _Group, news: pa.Table) -> np.ndarray:
     """By byte of the group: whether it goes."""
     size = len(g.bytes)
-    step = np.zeros(size + 1, np.int64)
+    begins, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
     def cover(windows: np.ndarray, length) -> None:
-        step[:] += np.bincount(windows, minlength=size + 1) - np.bincount(windows + length, minlength=size + 1)
+        begins.append(windows)
+        ends.append(windows + length)
 
     if len(g.f):
-        order, new = g.distinct()
-        block = np.cumsum(np.isin(np.arange(len(order)), new)) - 1
-        least = np.empty(len(order), np.int64)
-        least[order] = g.id[order[new]][block]
-        whole = np.unique(_route(news, "whole")[0])
-        later = g.id > least
-        if len(whole):
-            later |= whole[np.minimum(np.searchsorted(whole, g.f), len(whole) - 1)] == g.f
-        later = np.flatnonzero(later)
-        cover(g.i[later], g.n[later] + WINDOW - 1)
         f, d, m = _route(news, "mask")
-        if len(f):
-            by = np.lexsort((d, f))
-            f, d, m = f[by], d[by], m[by]
-            first = order[new]  # sorted by (f, d), as the masks are
-            at = np.searchsorted(f, g.f[first])
-            mask = np.zeros(len(first), np.int64)
-            for _ in range(int(np.diff(np.append(np.flatnonzero(np.append(True, f[1:] != f[:-1])), len(f))).max())):
-                p = np.minimum(at, len(f) - 1)
-                hit = (f[p] == g.f[first]) & (d[p] == g.d[first])
-                mask[hit] |= m[p[hit]]
-                at += 1
-            own = np.empty(len(order), np.int64)
-            own[order] = mask[block]
-            own[later] = 0
-            for k in range(RUN):
-                cover(g.i[(own >> k) & 1 == 1] + k, WINDOW)
+        by = np.lexsort((d, f))
+        f, d, m = f[by], d[by], m[by]
+        new = _starts(f, d)
+        mask = np.bitwise_or.reduceat(m, new) if len(new) else m
+        f, d = f[new], d[new]
+        # segments that may lose something: told of by a shard, or with a copy in the group
+        ranked = np.argsort(g.f, kind="stable")
+        twin = g.f[ranked][1:] == g.f[ranked][:-1]
+        maybe = np.zeros(len(g.f), bool)
+        maybe[ranked] = np.append(False, twin) | np.append(twin, False)
+        maybe |= _among(f[_starts(f)], g.f) >= 0
+        order, new = g.distinct(np.flatnonzero(maybe))
+        block = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+        first = order[new]
+        later = g.id[order] > g.id[first][block]
+        cover(g.i[order[later]], g.n[order[later]] + WINDOW - 1)
+        # both sides are sorted by (f, d) and distinct: their merge shows the equal ones
+        both_f, both_d = np.concatenate((f, g.f[first])), np.concatenate((d, g.d[first]))
+        by = np.lexsort((both_d, both_f))
+        same = np.flatnonzero((both_f[by][1:] == both_f[by][:-1]) & (both_d[by][1:] == both_d[by][:-1]))
+        told = np.zeros(len(first), np.int64)
+        told[by[same + 1] - len(f)] = mask[by[same]]
+        own = np.where(later, 0, told[block])
+        at, count = g.i[order], g.n[order]
+        whole = (own != 0) & (own == np.left_shift(1, count) - 1)
+        cover(at[whole], count[whole] + WINDOW - 1)
+        part = np.flatnonzero((own != 0) & ~whole)
+        for k in range(RUN):
+            cover(at[part[(own[part] >> k) & 1 == 1]] + k, WINDOW)
         h1, h2, low = _route(news, "low")
         if len(h1):
             by = np.lexsort((low, h2, h1))
@@ -467,6 +506,7 @@ def _removed(g: _Group, news: pa.Table) -> np.ndarray:
                 text = np.searchsorted(g.starts, w + s, "right") - 1
                 inside = (w + s + WINDOW <= g.ends[text]) & (h2[at] == x2[w]) & (low[at] < g.ids[text])
                 cover(w[inside] + s, WINDOW)
+    step = np.bincount(np.concatenate(begins), minlength=size + 1) - np.bincount(np.concatenate(ends), minlength=size + 1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -481,49 +521,57 @@ def _cut(names: tuple[str, ...]):
         runs = np.append(0, np.cumsum(first))
         removed, spans = total[g.ends] - total[g.starts], runs[g.ends] - runs[g.starts]
         kept = [g.bytes[s:e].tobytes() if not r else g.bytes[s:e][~gone[s:e]].tobytes() for s, e, r in zip(g.starts, g.ends, removed)]
-        out = {c: texts.column(c) for c in names}
+        out = {c: g.table.column(c) for c in names}
         out |= {"n_bytes": pa.array(g.ends - g.starts), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept])}
-        return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if "row" in names else {}))
+        if "row" in names:
+            raw = g.table.column("body").to_pylist()
+            left = [None if x is None else y if not r else y.decode("utf-8", "ignore").encode() for x, y, r in zip(raw, kept, removed)]
+            out |= {"kept": pa.array(left, pa.binary()), "emptied": pa.array([bool(r) and not y.strip() and bool(x.strip()) for x, y, r in zip(raw, left, removed)])}
+        return pa.table(out)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_rows`` also kept (the bytes that stay) and row
-    (all columns of ``docs`` as a struct)."""
-    body = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_rows`` also row (all columns of ``docs`` but text
+    as a struct), kept (the bytes that stay, without parts of characters; null for a null text) and emptied (whether
+    a text that was not blank is now)."""
+    body = F.col("text").cast("string").cast("binary")
     fields = [F.col("doc_id").cast("long").alias("doc_id"), body.alias("body")]
     if keep_rows:
         fields.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
-    total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     groups = max(8, -(-total // GROUP_BYTES))
     shards = max(8, -(-total // SHARD_BYTES))
     bits = max(4, int(total // 16 // 250_000).bit_length())
-    base = docs.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))), F.lit(groups)).cast("int").alias("g"), *fields)
+    merge = max(MERGE_LEAST, shards)
+    # dealt by id and text, so that rows without an id, or with one id, spread
+    base = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(groups)).cast("int").alias("g"), *fields)
     listed = base.groupBy("g").applyInArrow(_list_fingerprints(bits), "bucket int, g int, f binary")
     shared = listed.groupBy("bucket").applyInArrow(_shared_fingerprints, "g int, f binary, level binary")
-    heads = base.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_head_segments(1 << bits), "bucket int, g int, f binary, d binary, id binary, level binary")
-    resolved = heads.groupBy("bucket").applyInArrow(_resolve(HOT), _ROUTE_SQL).withColumn("g", F.col("to"))
-    sent = base.groupBy("g").cogroup(resolved.where("kind = 'ship'").groupBy("g")).applyInArrow(_ship_segments(shards), "shard int, g int, f binary, d binary, id binary, size binary, hot binary, body binary")
-    routed = sent.groupBy("shard").applyInArrow(_classes, _ROUTE_SQL)
+    heads = base.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_head_segments(1 << bits), "bucket int, g int, f binary, d binary, id binary, level binary, size binary")
+    resolved = heads.groupBy("bucket").applyInArrow(_resolve(HOT, shards), _ROUTE_SQL)
+    told = resolved.where("kind <> 'claim'").select("kind", "f", "d", "m", F.col("to").alias("g"))
+    sent = base.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_ship_segments(shards), "shard int, g binary, f binary, d binary, id binary, size binary, hot binary, body binary")
+    # one zero a claim: as many as sizes
+    claims = resolved.where("kind = 'claim'").select(F.col("to").alias("shard"), "g", "f", "d", F.col("m").alias("id"), F.col("s").alias("size"), F.expr("cast(repeat('\\0', octet_length(s)) as binary)").alias("hot"), F.lit(None).cast("binary").alias("body"))
+    routed = sent.unionByName(claims).groupBy("shard").applyInArrow(_classes(merge), _ROUTE_SQL)
     news = routed.groupBy("kind", "to").applyInArrow(_merge, _ROUTE_SQL).select("kind", "f", "d", "m", F.col("to").alias("g"))
-    news = news.unionByName(resolved.where("kind = 'whole'").select("kind", "f", "d", "m", "g"))
     names = ("doc_id", "row") if keep_rows else ("doc_id",)
     field = lambda name, kind: T.StructField(name, kind)
     schema = [field("doc_id", T.LongType())] + ([field("row", base.schema["row"].dataType)] if keep_rows else [])
     schema += [field(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [field("kept_sha256", T.StringType())]
-    schema += [field("kept", T.BinaryType())] if keep_rows else []
+    schema += [field("kept", T.BinaryType()), field("emptied", T.BooleanType())] if keep_rows else []
     return base.groupBy("g").cogroup(news.groupBy("g")).applyInArrow(_cut(names), T.StructType(schema))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated bytes cut from text; a character that is cut in two goes whole (and so do U+FFFD in
-    texts that lose bytes).  Documents of which nothing but blanks is left go, unless they were blank before.  A
-    column n_chars, if there is one, follows the text."""
-    marked = docs.withColumn("__blank", F.length(F.trim(F.coalesce("text", F.lit("")))) == 0).withColumn("__null", F.col("text").isNull())
-    out = remove_repeats(marked, keep_rows=True)
-    whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    text = F.when(F.col("row.__null"), F.lit(None)).when(F.col("n_removed") > 0, whole).otherwise(F.col("kept").cast("string"))
-    out = out.withColumn("text", text).where("row.__blank or length(trim(text)) > 0")
-    fresh = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    """``docs`` with the repeated bytes cut from text; a character that is cut in two goes whole.  Documents of which
+    nothing but blanks is left go, unless they were blank before; null texts stay null.  A column n_chars, if there
+    is one, follows the text."""
+    out = remove_repeats(docs, keep_rows=True).where("not emptied")
+    text = F.col("kept").cast("string")
+    fresh = {"text": text}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))
     return out.select(*[(fresh[c] if c in fresh else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
