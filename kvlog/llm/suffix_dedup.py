@@ -127,7 +127,8 @@ def _segments(b: np.ndarray, starts: np.ndarray, ends: np.ndarray):
             for out, x in zip(found, (i + s, size, text, fw[cut], d)):
                 out.append(x)
     i, size, text, f, d = (np.concatenate(x) for x in found)
-    return i, size, text, f & ~_U(15), d
+    # a smallest hash is small; mixed again, fingerprints spread evenly over buckets
+    return i, size, text, _mix(f) & ~_U(15), d
 
 
 class _Group:
@@ -167,17 +168,38 @@ def _among(values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(values[at] == x, at, -1)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The array byte by byte: all first bytes, then all second ones.  Equal bytes come together, so that what the
+    shuffle compresses is small."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _unpacked(rows: list[bytes | None], kind) -> np.ndarray:
+    """What ``_planes`` made of arrays, laid end to end."""
+    width = np.dtype(kind).itemsize
+    parts = [np.frombuffer(x, np.uint8).reshape(width, -1).T for x in rows if x]
+    return np.ascontiguousarray(np.concatenate(parts)).view(kind).ravel() if parts else np.empty(0, kind)
+
+
 def _packed(keys: np.ndarray, parts: int, columns: list[np.ndarray]):
-    """Rows of binary columns, one per key that occurs; keys < parts."""
+    """Rows of binary columns, one per key that occurs."""
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
     ends = np.append(cut[1:], len(k))
-    rows = [[x[order[a:b]].tobytes() for a, b in zip(cut, ends)] for x in columns]
+    rows = [[_planes(x[order[a:b]]) for a, b in zip(cut, ends)] for x in columns]
     return k[cut].astype(np.int32), rows
 
 
+def _short(f: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of a fingerprint (its first ``bits`` bits) and 36 bits more."""
+    return f >> _U(28 - bits)
+
+
 def _list_fingerprints(bits: int):
+    """Bucket rows of 36 further bits of each fingerprint and 4 for the log2 of its documents.  Fingerprints that
+    agree in these bits only are called shared without harm: their segments find no equal ones."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         g = _Group(table)
         order = np.argsort(g.f, kind="stable")
@@ -186,22 +208,30 @@ def _list_fingerprints(bits: int):
         new_id = np.concatenate(([True], (f[1:] != f[:-1]) | (ids[1:] != ids[:-1]))).astype(np.int64) if len(f) else np.empty(0, np.int64)
         docs = np.add.reduceat(new_id, new_f) if len(f) else new_id
         level = np.minimum(15, np.ceil(np.log2(np.maximum(1, docs)))).astype(np.uint64)
-        f = f[new_f]
-        bucket, (rows,) = _packed((f >> _U(64 - bits)).astype(np.int64), 1 << bits, [f | level])
-        return pa.table({"bucket": pa.array(bucket), "g": pa.array(np.full(len(bucket), key[0].as_py(), np.int32)), "f": pa.array(rows, pa.binary())})
+        x = _short(f[new_f], bits)
+        tail = ((x << _U(4)) | level).astype("<u8")
+        tail = tail.view(np.uint8).reshape(-1, 8)[:, :5] if len(tail) else np.empty((0, 5), np.uint8)
+        bucket = (x >> _U(36)).astype(np.int64)
+        cut = _starts(bucket)
+        rows = [tail[p:q].T.tobytes() for p, q in zip(cut, np.append(cut[1:], len(x)))]
+        return pa.table({"bucket": pa.array(bucket[cut].astype(np.int32)), "g": pa.array(np.full(len(cut), key[0].as_py(), np.int32)), "f": pa.array(rows, pa.binary())})
 
     return run
 
 
 def _shared_fingerprints(table: pa.Table) -> pa.Table:
-    """Back to each group: its fingerprints that two or more documents hold, with the rounded log2 of how many."""
-    raw = table.column("f").to_pylist()
-    g = np.repeat(table.column("g").to_numpy(), [len(x) // 8 for x in raw])
-    x = np.frombuffer(b"".join(raw), np.uint64)
-    order = np.argsort(x, kind="stable")
-    x, g = x[order], g[order]
-    f, docs = x & ~_U(15), np.left_shift(1, (x & _U(15)).astype(np.int64))
-    new = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
+    """Back to each group: its fingerprints, shortened, that two or more documents hold, with the rounded log2 of how
+    many."""
+    raw = [np.frombuffer(x, np.uint8).reshape(5, -1).T for x in table.column("f").to_pylist()]
+    bucket = np.repeat(table.column("bucket").to_numpy().astype(np.uint64), list(map(len, raw)))
+    g = np.repeat(table.column("g").to_numpy(), list(map(len, raw)))
+    x = np.zeros((len(g), 8), np.uint8)
+    x[:, :5] = np.concatenate(raw)
+    x = x.view("<u8").ravel().astype(np.uint64)
+    f, docs = (bucket << _U(36)) | (x >> _U(4)), np.left_shift(1, (x & _U(15)).astype(np.int64))
+    order = np.argsort(f, kind="stable")
+    f, g, docs = f[order], g[order], docs[order]
+    new = _starts(f)
     count = np.diff(np.append(new, len(f)))
     total = np.add.reduceat(docs, new)
     level = np.repeat(np.minimum(63, np.ceil(np.log2(total))).astype(np.uint8), count)
@@ -210,31 +240,32 @@ def _shared_fingerprints(table: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array(groups), "f": pa.array(rows, pa.binary()), "level": pa.array(levels, pa.binary())})
 
 
-def _pick(g: _Group, f: np.ndarray, level: np.ndarray):
-    """The first segment of each (fingerprint, digest) of the group whose fingerprint is listed, and its level."""
+def _pick(g: _Group, own: np.ndarray, f: np.ndarray, level: np.ndarray):
+    """The first segment of each (fingerprint, digest) of the group whose ``own`` value is listed in f, and its
+    level."""
     order = np.argsort(f, kind="stable")
     f, level = f[order], level[order]
-    at = _among(f, g.f)
+    at = _among(f, own)
     by, new = g.distinct(np.flatnonzero(at >= 0))
     return by[new], level[at[by[new]]].astype(np.int64)
 
 
 def _listed(table: pa.Table, fs: str, levels: str) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(table.column(fs).to_pylist()), np.uint64), np.frombuffer(b"".join(table.column(levels).to_pylist()), np.uint8)
+    return _unpacked(table.column(fs).to_pylist(), np.uint64), _unpacked(table.column(levels).to_pylist(), np.uint8)
 
 
-def _head_segments(buckets: int):
+def _head_segments(bits: int):
     """Digests, smallest ids and sizes of segments, without their bytes; of a frequent fingerprint only its name."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, shared: pa.Table) -> pa.Table:
         g = _Group(texts)
-        first, lv = _pick(g, *_listed(shared, "f", "level"))
+        first, lv = _pick(g, _short(g.f, bits), *_listed(shared, "f", "level"))
         again = np.append(False, (g.f[first][1:] == g.f[first][:-1]))[: len(first)]  # first is sorted by fingerprint
         keep = ~((lv > HOT) & again)
         first, lv = first[keep], lv[keep]
-        bucket = (_mix(g.f[first]) % _U(buckets)).astype(np.int64)
+        bucket = (_mix(g.f[first]) >> _U(64 - bits)).astype(np.int64)
         size = (g.n[first] + WINDOW - 1).astype(np.uint8)
-        keys, (fs, ds, ids, lvs, sizes) = _packed(bucket, buckets, [g.f[first], g.d[first], g.id[first], lv.astype(np.uint8), size])
+        keys, (fs, ds, ids, lvs, sizes) = _packed(bucket, 0, [g.f[first], g.d[first], g.id[first], lv.astype(np.uint8), size])
         b = pa.binary()
         return pa.table({"bucket": pa.array(keys), "g": pa.array(np.full(len(keys), key[0].as_py(), np.int32)), "f": pa.array(fs, b), "d": pa.array(ds, b), "id": pa.array(ids, b), "level": pa.array(lvs, b), "size": pa.array(sizes, b)})
 
@@ -247,8 +278,8 @@ def _resolve(hot_level: int, shards: int):
     frequent fingerprint is sent by every group that has it ("all")."""
 
     def run(table: pa.Table) -> pa.Table:
-        f, d, ids = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("f", np.uint64), ("d", np.uint64), ("id", np.int64)))
-        lv, size = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8) for c in ("level", "size"))
+        f, d, ids = (_unpacked(table.column(c).to_pylist(), t) for c, t in (("f", np.uint64), ("d", np.uint64), ("id", np.int64)))
+        lv, size = (_unpacked(table.column(c).to_pylist(), np.uint8) for c in ("level", "size"))
         g = np.repeat(table.column("g").to_numpy(), [len(x) for x in table.column("level").to_pylist()])
         hot = lv > hot_level
         out = []
@@ -275,15 +306,16 @@ def _ship_segments(shards: int):
         g = _Group(texts)
         f, d, _ = _route(news, "ship")
         hot_f, hot_lv = _listed(_of_kind(news, "all"), "f", "d")
-        first, lv = _pick(g, np.concatenate((f, hot_f)), np.concatenate((np.zeros(len(f), np.uint8), hot_lv)))
+        first, lv = _pick(g, g.f, np.concatenate((f, hot_f)), np.concatenate((np.zeros(len(f), np.uint8), hot_lv)))
         chosen = (lv > HOT) | np.isin(_mix(g.f[first]) + g.d[first], _mix(f) + d)
         first, lv = first[chosen], lv[chosen]
+        hot = lv > HOT
         salt = g.d[first] & ((_U(1) << np.maximum(0, lv - HOT).astype(np.uint64)) - _U(1))
-        shard = (_mix(g.f[first] + salt) % _U(shards)).astype(np.int64)
+        shard = 2 * (_mix(g.f[first] + salt) % _U(shards)).astype(np.int64) + hot
         size = (g.n[first] + WINDOW - 1).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        first, size, hot = first[order], size[order], (lv > HOT)[order]
-        keys, (fs, ds, ids, sizes, hots) = _packed(shard[order], shards, [g.f[first], g.d[first], g.id[first], size.astype(np.uint8), hot.astype(np.uint8) + np.uint8(1)])
+        first, size = first[order], size[order]
+        keys, (fs, ds, ids, sizes, sents) = _packed(shard[order], 0, [g.f[first], g.d[first], g.id[first], size.astype(np.uint8), np.ones(len(first), np.uint8)])
         ends = np.cumsum(size)
         place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(g.i[first], size)
         data, cut, at = g.bytes[place].tobytes(), [0], 0
@@ -292,8 +324,8 @@ def _ship_segments(shards: int):
             cut.append(at)
         bodies = [data[a:b] for a, b in zip(cut, cut[1:])]
         b = pa.binary()
-        own = [np.full(len(x), key[0].as_py(), np.int32).tobytes() for x in sizes]
-        return pa.table({"shard": pa.array(keys), "g": pa.array(own, b), "f": pa.array(fs, b), "d": pa.array(ds, b), "id": pa.array(ids, b), "size": pa.array(sizes, b), "hot": pa.array(hots, b), "body": pa.array(bodies, b)})
+        own = [_planes(np.full(len(x), key[0].as_py(), np.int32)) for x in sizes]
+        return pa.table({"shard": pa.array(keys >> 1), "salted": pa.array((keys & 1).astype(bool)), "g": pa.array(own, b), "f": pa.array(fs, b), "d": pa.array(ds, b), "id": pa.array(ids, b), "size": pa.array(sizes, b), "sent": pa.array(sents, b), "body": pa.array(bodies, b)})
 
     return run
 
@@ -314,7 +346,7 @@ def suffix_array(b: np.ndarray, rest: np.ndarray, depth: int) -> tuple[np.ndarra
         x[rest <= k] = 0
         key = (key << _U(8)) | x
     key = (key << _U(8)) | np.minimum(rest, 7).astype(np.uint64)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     key = key[sa]
     new = np.concatenate(([True], key[1:] != key[:-1]))
     rank = np.empty(n, np.int64)
@@ -325,13 +357,15 @@ def suffix_array(b: np.ndarray, rest: np.ndarray, depth: int) -> tuple[np.ndarra
         own = sa[slots]
         nxt = np.where(rest[own] > h, rank[np.minimum(own + h, n - 1)] + 1, 0)
         key = (rank[own] << 32) | nxt
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         own, key = own[order], key[order]
         sa[slots] = own
         new = np.concatenate(([True], key[1:] != key[:-1]))
         rank[own] = slots[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
         slots = slots[~(new & np.append(new[1:], True))]
         h *= 2
+    tied = sa[slots]
+    sa[slots] = tied[np.argsort((rank[tied] << 32) | tied)]
     where = np.empty(n, np.int64)
     where[sa] = np.arange(n)
     return sa, where
@@ -360,23 +394,25 @@ def common_prefixes(b: np.ndarray, rest: np.ndarray, starts: np.ndarray, sa: np.
     return lcp
 
 
-def _classes(buckets: int):
-    """The shard step.  Sends masks of repeated windows to groups; for salted fingerprints, windows to merge."""
+def _classes(buckets: int, salted: bool):
+    """The shard step, for salted fingerprints or the others.  Sends masks of repeated windows to groups; for salted
+    fingerprints, windows to merge."""
 
     def run(table: pa.Table) -> pa.Table:
-        return _shard(table, buckets)
+        table = table.filter(pa.compute.equal(table.column("salted"), salted))
+        return _shard(table, buckets, salted) if table.num_rows else pa.Table.from_pylist([], schema=_ROUTE)
 
     return run
 
 
-def _shard(table: pa.Table, buckets: int) -> pa.Table:
-    """``hot`` says what a row is: 0 a claim without bytes, 1 a segment, 2 a segment of a salted fingerprint."""
-    f, d, ids, g, size, hot = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("f", np.uint64), ("d", np.uint64), ("id", np.int64), ("g", np.int32), ("size", np.uint8), ("hot", np.uint8)))
+def _shard(table: pa.Table, buckets: int, salted: bool) -> pa.Table:
+    """``sent`` is 0 for a claim, which has no bytes.  All rows are of salted fingerprints, or none."""
+    f, d, ids, g, size, sent = (_unpacked(table.column(c).to_pylist(), t) for c, t in (("f", np.uint64), ("d", np.uint64), ("id", np.int64), ("g", np.int32), ("size", np.uint8), ("sent", np.uint8)))
     size = size.astype(np.int64)
     body = np.frombuffer(b"".join(x or b"" for x in table.column("body").to_pylist()), np.uint8)
-    sent = np.where(hot > 0, size, 0)
+    claim, sent = sent == 0, np.where(sent > 0, size, 0)
     begin = np.cumsum(sent) - sent
-    order = np.lexsort((hot == 0, ids, d, f))  # one copy of each segment is enough; the smallest id has the bytes
+    order = np.lexsort((claim, ids, d, f))  # one copy of each segment is enough; the smallest id has the bytes
     new = np.zeros(len(order), bool)
     new[_starts(f[order], d[order])] = True
     unit = np.empty(len(order), np.int64)
@@ -401,10 +437,11 @@ def _shard(table: pa.Table, buckets: int) -> pa.Table:
         has = size - WINDOW >= k
         smaller |= np.where(has, low_at[np.minimum(starts[unit] + k, total - 1)] < ids, False).astype(np.int64) << k
     pick = np.flatnonzero(smaller)
+    pick = pick[np.lexsort((d[pick], f[pick]))]
     groups, (fs, ds, ms) = _packed(g[pick].astype(np.int64), 0, [f[pick], d[pick], smaller[pick]])
     out = [{"kind": "mask", "to": int(k), "f": x, "d": y, "m": z} for k, x, y, z in zip(groups, fs, ds, ms)]
-    rows = np.flatnonzero(hot == 2)
-    if len(rows):
+    if salted:
+        rows = np.arange(len(f))
         count = size[rows] - WINDOW + 1
         row = np.repeat(rows, count)
         pos = starts[unit[row]] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
@@ -423,7 +460,7 @@ def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     in the union by binary search; a group hears of a window if another shard has it under a smaller id."""
     if key[0].as_py() == "mask":
         return table
-    lists = [[np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("f", np.uint64), ("d", np.uint64), ("m", np.int64), ("g", np.int64))]
+    lists = [[_unpacked([x], t) for x in table.column(c).to_pylist()] for c, t in (("f", np.uint64), ("d", np.uint64), ("m", np.int64), ("g", np.int64))]
     h1, h2 = np.concatenate(lists[0]), np.concatenate(lists[1])
     order = np.lexsort((h2, h1))
     h1, h2 = h1[order], h2[order]
@@ -451,7 +488,7 @@ def _of_kind(table: pa.Table, kind: str) -> pa.Table:
 
 def _route(table: pa.Table, kind: str) -> list[np.ndarray]:
     t = _of_kind(table, kind)
-    return [np.frombuffer(b"".join(x or b"" for x in t.column(c).to_pylist()), d) for c, d in (("f", np.uint64), ("d", np.uint64), ("m", np.int64))]
+    return [_unpacked(t.column(c).to_pylist(), d) for c, d in (("f", np.uint64), ("d", np.uint64), ("m", np.int64))]
 
 
 def _removed(g: _Group, news: pa.Table) -> np.ndarray:
@@ -549,14 +586,16 @@ def remove_repeats(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
     base = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(groups)).cast("int").alias("g"), *fields)
     listed = base.groupBy("g").applyInArrow(_list_fingerprints(bits), "bucket int, g int, f binary")
     shared = listed.groupBy("bucket").applyInArrow(_shared_fingerprints, "g int, f binary, level binary")
-    heads = base.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_head_segments(1 << bits), "bucket int, g int, f binary, d binary, id binary, level binary, size binary")
+    heads = base.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_head_segments(bits), "bucket int, g int, f binary, d binary, id binary, level binary, size binary")
     resolved = heads.groupBy("bucket").applyInArrow(_resolve(HOT, shards), _ROUTE_SQL)
     told = resolved.where("kind <> 'claim'").select("kind", "f", "d", "m", F.col("to").alias("g"))
-    sent = base.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_ship_segments(shards), "shard int, g binary, f binary, d binary, id binary, size binary, hot binary, body binary")
+    sent = base.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_ship_segments(shards), "shard int, salted boolean, g binary, f binary, d binary, id binary, size binary, sent binary, body binary")
     # one zero a claim: as many as sizes
-    claims = resolved.where("kind = 'claim'").select(F.col("to").alias("shard"), "g", "f", "d", F.col("m").alias("id"), F.col("s").alias("size"), F.expr("cast(repeat('\\0', octet_length(s)) as binary)").alias("hot"), F.lit(None).cast("binary").alias("body"))
-    routed = sent.unionByName(claims).groupBy("shard").applyInArrow(_classes(merge), _ROUTE_SQL)
-    news = routed.groupBy("kind", "to").applyInArrow(_merge, _ROUTE_SQL).select("kind", "f", "d", "m", F.col("to").alias("g"))
+    claims = resolved.where("kind = 'claim'").select(F.col("to").alias("shard"), F.lit(False).alias("salted"), "g", "f", "d", F.col("m").alias("id"), F.col("s").alias("size"), F.expr("cast(repeat('\\0', octet_length(s)) as binary)").alias("sent"), F.lit(None).cast("binary").alias("body"))
+    dealt = sent.unionByName(claims).groupBy("shard")
+    columns = ("kind", "f", "d", "m", F.col("to").alias("g"))
+    merged = dealt.applyInArrow(_classes(merge, True), _ROUTE_SQL).groupBy("kind", "to").applyInArrow(_merge, _ROUTE_SQL)
+    news = dealt.applyInArrow(_classes(merge, False), _ROUTE_SQL).select(*columns).unionByName(merged.select(*columns))
     names = ("doc_id", "row") if keep_rows else ("doc_id",)
     field = lambda name, kind: T.StructField(name, kind)
     schema = [field("doc_id", T.LongType())] + ([field("row", base.schema["row"].dataType)] if keep_rows else [])
