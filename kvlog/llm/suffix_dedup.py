@@ -28,10 +28,12 @@ the largest; an empty table gives an empty table; extra columns are ignored.
 
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +45,7 @@ SHARD_BYTES = 4 << 20
 CHUNK = 1 << 18
 #: No segment has more windows, so that its first and last window cover it and a 32-bit mask describes it.
 RUN = 32
-#: Fingerprints of more than 2 ** HOT distinct segments or so are salted.
+#: Fingerprints of more than 2 ** HOT documents or so are salted.
 HOT = 9
 #: Windows of salted shards are merged in at least so many buckets, and more as the data grow.
 MERGE_LEAST = 256
@@ -53,8 +55,8 @@ _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MASK64 = (1 << 64) - 1
 
 
-_ROUTE = pa.schema([("kind", pa.string()), ("to", pa.int32()), ("f", pa.binary()), ("d", pa.binary()), ("m", pa.binary()), ("g", pa.binary()), ("s", pa.binary())])
-_ROUTE_SQL = "kind string, to int, f binary, d binary, m binary, g binary, s binary"
+_ROUTE = pa.schema([("kind", pa.string()), ("to", pa.int32()), ("e", pa.binary()), ("d", pa.binary()), ("m", pa.binary()), ("g", pa.binary())])
+_ROUTE_SQL = "kind string, to int, e binary, d binary, m binary, g binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -168,16 +170,30 @@ def _among(values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(values[at] == x, at, -1)
 
 
+@lru_cache(maxsize=1)
+def _codecs():
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _small(raw: bytes) -> bytes:
+    """Compressed, if that helps; the first byte says so."""
+    packed = _codecs()[0].compress(raw) if len(raw) > 32 else raw
+    return b"\1" + packed if len(packed) < len(raw) else b"\0" + raw
+
+
+def _large(x: bytes) -> bytes:
+    return _codecs()[1].decompress(x[1:]) if x[0] else x[1:]
+
+
 def _planes(x: np.ndarray) -> bytes:
-    """The array byte by byte: all first bytes, then all second ones.  Equal bytes come together, so that what the
-    shuffle compresses is small."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    """The array byte by byte: all first bytes, then all second ones; equal bytes come together, which makes it small."""
+    return _small(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def _unpacked(rows: list[bytes | None], kind) -> np.ndarray:
     """What ``_planes`` made of arrays, laid end to end."""
     width = np.dtype(kind).itemsize
-    parts = [np.frombuffer(x, np.uint8).reshape(width, -1).T for x in rows if x]
+    parts = [np.frombuffer(_large(x), np.uint8).reshape(width, -1).T for x in rows if x]
     return np.ascontiguousarray(np.concatenate(parts)).view(kind).ravel() if parts else np.empty(0, kind)
 
 
@@ -213,7 +229,7 @@ def _list_fingerprints(bits: int):
         tail = tail.view(np.uint8).reshape(-1, 8)[:, :5] if len(tail) else np.empty((0, 5), np.uint8)
         bucket = (x >> _U(36)).astype(np.int64)
         cut = _starts(bucket)
-        rows = [tail[p:q].T.tobytes() for p, q in zip(cut, np.append(cut[1:], len(x)))]
+        rows = [_small(tail[p:q].T.tobytes()) for p, q in zip(cut, np.append(cut[1:], len(x)))]
         return pa.table({"bucket": pa.array(bucket[cut].astype(np.int32)), "g": pa.array(np.full(len(cut), key[0].as_py(), np.int32)), "f": pa.array(rows, pa.binary())})
 
     return run
@@ -222,7 +238,7 @@ def _list_fingerprints(bits: int):
 def _shared_fingerprints(table: pa.Table) -> pa.Table:
     """Back to each group: its fingerprints, shortened, that two or more documents hold, with the rounded log2 of how
     many."""
-    raw = [np.frombuffer(x, np.uint8).reshape(5, -1).T for x in table.column("f").to_pylist()]
+    raw = [np.frombuffer(_large(x), np.uint8).reshape(5, -1).T for x in table.column("f").to_pylist()]
     bucket = np.repeat(table.column("bucket").to_numpy().astype(np.uint64), list(map(len, raw)))
     g = np.repeat(table.column("g").to_numpy(), list(map(len, raw)))
     x = np.zeros((len(g), 8), np.uint8)
@@ -254,78 +270,90 @@ def _listed(table: pa.Table, fs: str, levels: str) -> tuple[np.ndarray, np.ndarr
     return _unpacked(table.column(fs).to_pylist(), np.uint64), _unpacked(table.column(levels).to_pylist(), np.uint8)
 
 
-def _head_segments(bits: int):
-    """Digests, smallest ids and sizes of segments, without their bytes; of a frequent fingerprint only its name."""
+def _tag(f: np.ndarray) -> np.ndarray:
+    """16 bits of the fingerprint: with the digest they name a segment inside its shard, in 80 bits."""
+    return (f >> _U(8)).astype(np.uint16)
+
+
+_HEADS_SQL = "bucket int, g int, sub binary, e binary, d binary, id binary, hot binary, level binary"
+
+
+def _head_segments(bits: int, spread: int):
+    """Names and smallest ids of segments, without their bytes, and the shard inside the bucket; of a frequent
+    fingerprint only itself and its level."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, shared: pa.Table) -> pa.Table:
         g = _Group(texts)
         first, lv = _pick(g, _short(g.f, bits), *_listed(shared, "f", "level"))
-        again = np.append(False, (g.f[first][1:] == g.f[first][:-1]))[: len(first)]  # first is sorted by fingerprint
-        keep = ~((lv > HOT) & again)
-        first, lv = first[keep], lv[keep]
-        bucket = (_mix(g.f[first]) >> _U(64 - bits)).astype(np.int64)
-        size = (g.n[first] + WINDOW - 1).astype(np.uint8)
-        keys, (fs, ds, ids, lvs, sizes) = _packed(bucket, 0, [g.f[first], g.d[first], g.id[first], lv.astype(np.uint8), size])
-        b = pa.binary()
-        return pa.table({"bucket": pa.array(keys), "g": pa.array(np.full(len(keys), key[0].as_py(), np.int32)), "f": pa.array(fs, b), "d": pa.array(ds, b), "id": pa.array(ids, b), "level": pa.array(lvs, b), "size": pa.array(sizes, b)})
+        hot = lv > HOT
+        place = _mix(g.f[first]) >> _U(64 - bits - spread)
+        bucket = (place >> _U(spread)).astype(np.int64)
+        x = first[~hot]
+        keys, rows = _packed(bucket[~hot], 0, [(place[~hot] & _U((1 << spread) - 1)).astype(np.uint16), _tag(g.f[x]), g.d[x], g.id[x]])
+        x = np.flatnonzero(hot)[_starts(g.f[first[hot]])]  # first is sorted by fingerprint
+        hots, names = _packed(bucket[x], 0, [g.f[first[x]], lv[x].astype(np.uint8)])
+        out = [{"bucket": int(k), "sub": p, "e": q, "d": r, "id": t} for k, p, q, r, t in zip(keys, *rows)]
+        out += [{"bucket": int(k), "hot": p, "level": q} for k, p, q in zip(hots, names[0], names[1])]
+        schema = pa.schema([("bucket", pa.int32()), ("g", pa.int32())] + [(c, pa.binary()) for c in ("sub", "e", "d", "id", "hot", "level")])
+        return pa.Table.from_pylist([r | {"g": key[0].as_py()} for r in out], schema=schema)
 
     return run
 
 
-def _resolve(hot_level: int, shards: int):
+def _resolve(spread: int):
     """Who sends which segment.  Of each distinct segment the group with its smallest id is told to send the bytes
-    ("ship", f and d); claims of the other groups go to the shard at once ("claim": d, id in m, size in s).  A
-    frequent fingerprint is sent by every group that has it ("all")."""
+    ("ship", half the digest in d: a segment more does no harm); claims of the other groups go to the shard at once
+    ("claim", id in m).  A frequent fingerprint is sent by every group that has it ("all")."""
 
-    def run(table: pa.Table) -> pa.Table:
-        f, d, ids = (_unpacked(table.column(c).to_pylist(), t) for c, t in (("f", np.uint64), ("d", np.uint64), ("id", np.int64)))
-        lv, size = (_unpacked(table.column(c).to_pylist(), np.uint8) for c in ("level", "size"))
-        g = np.repeat(table.column("g").to_numpy(), [len(x) for x in table.column("level").to_pylist()])
-        hot = lv > hot_level
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         out = []
-        groups, (fs, lvs) = _packed(g[hot].astype(np.int64), 0, [f[hot], lv[hot]])
-        out += [{"kind": "all", "to": int(k), "f": x, "d": y} for k, x, y in zip(groups, fs, lvs)]
-        f, d, ids, size, g = (x[~hot] for x in (f, d, ids, size, g))
-        order = np.lexsort((g, ids, d, f))
-        f, d, ids, size, g = (x[order] for x in (f, d, ids, size, g))
-        least = np.zeros(len(f), bool)
-        least[_starts(f, d)] = True
-        groups, (fs, ds) = _packed(g[least].astype(np.int64), 0, [f[least], d[least]])
-        out += [{"kind": "ship", "to": int(k), "f": x, "d": y} for k, x, y in zip(groups, fs, ds)]
-        f, d, ids, size, g = (x[~least] for x in (f, d, ids, size, g))
-        shard = (_mix(f) % _U(shards)).astype(np.int64)
-        groups, rows = _packed(shard, 0, [f, d, ids, g.astype(np.int32), size])
-        out += [{"kind": "claim", "to": int(k), "f": x, "d": y, "m": z, "g": w, "s": v} for k, x, y, z, w, v in zip(groups, *rows)]
+        for row in table.filter(pa.compute.is_valid(table.column("hot"))).to_pylist():
+            out.append({"kind": "all", "to": row["g"], "e": row["hot"], "d": row["level"]})
+        table = table.filter(pa.compute.is_valid(table.column("id")))
+        many = [_unpacked([x], np.int64) for x in table.column("id").to_pylist()]
+        ids = np.concatenate(many) if many else np.empty(0, np.int64)
+        g = np.repeat(table.column("g").to_numpy(), list(map(len, many)))
+        sub, e, d = (_unpacked(table.column(c).to_pylist(), t) for c, t in (("sub", np.uint16), ("e", np.uint16), ("d", np.uint64)))
+        order = np.lexsort((g, ids, d, e, sub))
+        sub, e, d, ids, g = (x[order] for x in (sub, e, d, ids, g))
+        least = np.zeros(len(d), bool)
+        least[_starts(sub, e, d)] = True
+        groups, (ds,) = _packed(g[least].astype(np.int64), 0, [(d[least] >> _U(32)).astype(np.uint32)])
+        out += [{"kind": "ship", "to": int(k), "d": y} for k, y in zip(groups, ds)]
+        sub, e, d, ids, g = (x[~least] for x in (sub, e, d, ids, g))
+        groups, rows = _packed((key[0].as_py() << spread) + sub.astype(np.int64), 0, [e, d, ids, g.astype(np.int32)])
+        out += [{"kind": "claim", "to": int(k), "e": x, "d": y, "m": z, "g": w} for k, x, y, z, w in zip(groups, *rows)]
         return pa.Table.from_pylist(out, schema=_ROUTE)
 
     return run
 
 
-def _ship_segments(shards: int):
+def _ship_segments(shard_bits: int):
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, news: pa.Table) -> pa.Table:
         g = _Group(texts)
-        f, d, _ = _route(news, "ship")
-        hot_f, hot_lv = _listed(_of_kind(news, "all"), "f", "d")
-        first, lv = _pick(g, g.f, np.concatenate((f, hot_f)), np.concatenate((np.zeros(len(f), np.uint8), hot_lv)))
-        chosen = (lv > HOT) | np.isin(_mix(g.f[first]) + g.d[first], _mix(f) + d)
-        first, lv = first[chosen], lv[chosen]
-        hot = lv > HOT
+        f, lv = _listed(_of_kind(news, "all"), "e", "d")
+        order = np.argsort(f, kind="stable")
+        f, lv = f[order], lv[order].astype(np.int64)
+        names = np.sort(_unpacked(_of_kind(news, "ship").column("d").to_pylist(), np.uint32))
+        at = _among(f, g.f)
+        by, new = g.distinct(np.flatnonzero((at >= 0) | (_among(names, (g.d >> _U(32)).astype(np.uint32)) >= 0)))
+        first = by[new]
+        lv = np.append(lv, 0)[at[first]]
+        hot = lv > 0
         salt = g.d[first] & ((_U(1) << np.maximum(0, lv - HOT).astype(np.uint64)) - _U(1))
-        shard = 2 * (_mix(g.f[first] + salt) % _U(shards)).astype(np.int64) + hot
+        shard = 2 * (_mix(g.f[first] + salt) >> _U(64 - shard_bits)).astype(np.int64) + hot
         size = (g.n[first] + WINDOW - 1).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         first, size = first[order], size[order]
-        keys, (fs, ds, ids, sizes, sents) = _packed(shard[order], 0, [g.f[first], g.d[first], g.id[first], size.astype(np.uint8), np.ones(len(first), np.uint8)])
+        keys, rows = _packed(shard[order], 0, [_tag(g.f[first]), g.d[first], g.id[first], size.astype(np.uint8)])
+        count = np.diff(np.append(_starts(shard[order]), len(order)))
         ends = np.cumsum(size)
         place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(g.i[first], size)
-        data, cut, at = g.bytes[place].tobytes(), [0], 0
-        for x in sizes:
-            at += int(np.frombuffer(x, np.uint8).sum(dtype=np.int64))
-            cut.append(at)
-        bodies = [data[a:b] for a, b in zip(cut, cut[1:])]
+        data, cut = g.bytes[place].tobytes(), np.append(0, ends[np.cumsum(count) - 1]) if len(count) else []
+        bodies = [_small(data[a:b]) for a, b in zip(cut, cut[1:])]
+        own = [_planes(np.full(n, key[0].as_py(), np.int32)) for n in count]
         b = pa.binary()
-        own = [_planes(np.full(len(x), key[0].as_py(), np.int32)) for x in sizes]
-        return pa.table({"shard": pa.array(keys >> 1), "salted": pa.array((keys & 1).astype(bool)), "g": pa.array(own, b), "f": pa.array(fs, b), "d": pa.array(ds, b), "id": pa.array(ids, b), "size": pa.array(sizes, b), "sent": pa.array(sents, b), "body": pa.array(bodies, b)})
+        return pa.table({"shard": pa.array(keys >> 1), "salted": pa.array((keys & 1).astype(bool)), "g": pa.array(own, b)} | {c: pa.array(x, b) for c, x in zip(("e", "d", "id", "size"), rows)} | {"body": pa.array(bodies, b)})
 
     return run
 
@@ -339,13 +367,12 @@ def suffix_array(b: np.ndarray, rest: np.ndarray, depth: int) -> tuple[np.ndarra
     on which Kasai's rule relies.
     """
     n = len(b)
-    key = np.zeros(n, np.uint64)
-    for k in range(7):
-        x = np.zeros(n, np.uint64)
-        x[: n - k] = b[k:]
-        x[rest <= k] = 0
-        key = (key << _U(8)) | x
-    key = (key << _U(8)) | np.minimum(rest, 7).astype(np.uint64)
+    padded = np.append(b, np.zeros(8, np.uint8))
+    key = np.ndarray(n, ">u8", padded, strides=(1,)).astype(np.uint64)
+    # the first seven bytes, none beyond the string, and how many they are
+    known = np.minimum(rest, 7)
+    key &= np.array([_MASK64 ^ (_MASK64 >> 8 * k) for k in range(8)], np.uint64)[known]
+    key |= known.astype(np.uint64)
     sa = np.argsort(key)
     key = key[sa]
     new = np.concatenate(([True], key[1:] != key[:-1]))
@@ -406,19 +433,21 @@ def _classes(buckets: int, salted: bool):
 
 
 def _shard(table: pa.Table, buckets: int, salted: bool) -> pa.Table:
-    """``sent`` is 0 for a claim, which has no bytes.  All rows are of salted fingerprints, or none."""
-    f, d, ids, g, size, sent = (_unpacked(table.column(c).to_pylist(), t) for c, t in (("f", np.uint64), ("d", np.uint64), ("id", np.int64), ("g", np.int32), ("size", np.uint8), ("sent", np.uint8)))
-    size = size.astype(np.int64)
-    body = np.frombuffer(b"".join(x or b"" for x in table.column("body").to_pylist()), np.uint8)
-    claim, sent = sent == 0, np.where(sent > 0, size, 0)
+    """Rows without sizes are claims, which have no bytes.  All rows are of salted fingerprints, or none."""
+    e, d, ids, g = (_unpacked(table.column(c).to_pylist(), t) for c, t in (("e", np.uint16), ("d", np.uint64), ("id", np.int64), ("g", np.int32)))
+    sizes = table.column("size").to_pylist()
+    sent = np.concatenate([_unpacked([x], np.uint8).astype(np.int64) if x else np.zeros(len(_unpacked([y], np.uint16)), np.int64) for x, y in zip(sizes, table.column("e").to_pylist())])
+    claim = sent == 0
+    body = np.frombuffer(b"".join(_large(x) for x in table.column("body").to_pylist() if x), np.uint8)
     begin = np.cumsum(sent) - sent
-    order = np.lexsort((claim, ids, d, f))  # one copy of each segment is enough; the smallest id has the bytes
+    order = np.lexsort((claim, ids, d, e))  # one copy of each segment is enough; the smallest id has the bytes
     new = np.zeros(len(order), bool)
-    new[_starts(f[order], d[order])] = True
+    new[_starts(e[order], d[order])] = True
     unit = np.empty(len(order), np.int64)
     unit[order] = np.cumsum(new) - 1
     first = order[new]
-    least, n = ids[first], size[first]
+    least, n = ids[first], sent[first]
+    size = n[unit]
     starts = np.cumsum(n) - n
     total = int(n.sum())
     own = np.repeat(np.arange(len(n)), n)
@@ -430,28 +459,24 @@ def _shard(table: pa.Table, buckets: int, salted: bool) -> pa.Table:
     head = np.flatnonzero(lcp < WINDOW)
     low = np.minimum.reduceat(least[own[sa]], head)
     low_at = low[cls[where]]  # by position: the smallest id of its class
-    window = rest >= WINDOW
     # groups' own segments: bit k is set if window k occurs under a smaller id
-    smaller = np.zeros(len(f), np.int64)
-    for k in range(RUN):
-        has = size - WINDOW >= k
-        smaller |= np.where(has, low_at[np.minimum(starts[unit] + k, total - 1)] < ids, False).astype(np.int64) << k
+    count = size - WINDOW + 1
+    ends = np.cumsum(count)
+    nth = np.arange(ends[-1]) - np.repeat(ends - count, count)
+    pos = np.repeat(starts[unit], count) + nth
+    smaller = np.add.reduceat((low_at[pos] < np.repeat(ids, count)).astype(np.int64) << nth, ends - count)
     pick = np.flatnonzero(smaller)
-    pick = pick[np.lexsort((d[pick], f[pick]))]
-    groups, (fs, ds, ms) = _packed(g[pick].astype(np.int64), 0, [f[pick], d[pick], smaller[pick]])
-    out = [{"kind": "mask", "to": int(k), "f": x, "d": y, "m": z} for k, x, y, z in zip(groups, fs, ds, ms)]
+    groups, rows = _packed(g[pick].astype(np.int64), 0, [e[pick], d[pick], smaller[pick].astype(np.uint32)])
+    out = [{"kind": "mask", "to": int(k), "e": x, "d": y, "m": z} for k, x, y, z in zip(groups, *rows)]
     if salted:
-        rows = np.arange(len(f))
-        count = size[rows] - WINDOW + 1
-        row = np.repeat(rows, count)
-        pos = starts[unit[row]] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        row = np.repeat(np.arange(len(e)), count)
         h1, h2 = (_mix(_rolling(b, base, (WINDOW,))[WINDOW][pos]) for base in (_B1, _B2))
         order = np.lexsort((g[row], h2, h1))
         h1, h2, low, to = h1[order], h2[order], low_at[pos][order], g[row][order]
         new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (to[1:] != to[:-1])))
         h1, h2, low, to = h1[new], h2[new], low[new], to[new].astype(np.int64)
         keys, lists = _packed((h1 % _U(buckets)).astype(np.int64), buckets, [h1, h2, low, to])
-        out += [{"kind": "window", "to": int(k), "f": x, "d": y, "m": z, "g": w} for k, x, y, z, w in zip(keys, *lists)]
+        out += [{"kind": "window", "to": int(k), "e": x, "d": y, "m": z, "g": w} for k, x, y, z, w in zip(keys, *lists)]
     return pa.Table.from_pylist(out, schema=_ROUTE)
 
 
@@ -460,7 +485,7 @@ def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     in the union by binary search; a group hears of a window if another shard has it under a smaller id."""
     if key[0].as_py() == "mask":
         return table
-    lists = [[_unpacked([x], t) for x in table.column(c).to_pylist()] for c, t in (("f", np.uint64), ("d", np.uint64), ("m", np.int64), ("g", np.int64))]
+    lists = [[_unpacked([x], t) for x in table.column(c).to_pylist()] for c, t in (("e", np.uint64), ("d", np.uint64), ("m", np.int64), ("g", np.int64))]
     h1, h2 = np.concatenate(lists[0]), np.concatenate(lists[1])
     order = np.lexsort((h2, h1))
     h1, h2 = h1[order], h2[order]
@@ -474,21 +499,19 @@ def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             at[off] += 1
         np.minimum.at(least, at, low)
         places.append(at)
-    out = []
-    for at, x, y, low, g in zip(places, *lists):
-        told = np.flatnonzero(least[at] < low)
-        groups, rows = _packed(g[told], 0, [x[told], y[told], least[at][told]])
-        out += [{"kind": "low", "to": int(k), "f": p, "d": q, "m": r} for k, p, q, r in zip(groups, *rows)]
-    return pa.Table.from_pylist(out, schema=_ROUTE)
+    told = [least[at] < low for at, low in zip(places, lists[2])]
+    told = [np.concatenate([z[k] for z, k in zip(zs, told)]) for zs in (lists[0], lists[1], [least[at] for at in places], lists[3])]
+    groups, rows = _packed(told[3], 0, told[:3])
+    return pa.Table.from_pylist([{"kind": "low", "to": int(k), "e": p, "d": q, "m": r} for k, p, q, r in zip(groups, *rows)], schema=_ROUTE)
 
 
 def _of_kind(table: pa.Table, kind: str) -> pa.Table:
     return table.filter(pa.compute.equal(table.column("kind"), kind)) if table.num_rows else table
 
 
-def _route(table: pa.Table, kind: str) -> list[np.ndarray]:
+def _route(table: pa.Table, kind: str, *kinds) -> list[np.ndarray]:
     t = _of_kind(table, kind)
-    return [_unpacked(t.column(c).to_pylist(), d) for c, d in (("f", np.uint64), ("d", np.uint64), ("m", np.int64))]
+    return [_unpacked(t.column(c).to_pylist(), d) for c, d in zip("edm", kinds)]
 
 
 def _removed(g: _Group, news: pa.Table) -> np.ndarray:
@@ -501,29 +524,31 @@ def _removed(g: _Group, news: pa.Table) -> np.ndarray:
         ends.append(windows + length)
 
     if len(g.f):
-        f, d, m = _route(news, "mask")
-        by = np.lexsort((d, f))
-        f, d, m = f[by], d[by], m[by]
-        new = _starts(f, d)
+        e, d, m = _route(news, "mask", np.uint16, np.uint64, np.uint32)
+        by = np.lexsort((e, d))
+        e, d, m = e[by], d[by], m[by].astype(np.int64)
+        new = _starts(e, d)
         mask = np.bitwise_or.reduceat(m, new) if len(new) else m
-        f, d = f[new], d[new]
+        e, d = e[new], d[new]
         # segments that may lose something: told of by a shard, or with a copy in the group
         ranked = np.argsort(g.f, kind="stable")
         twin = g.f[ranked][1:] == g.f[ranked][:-1]
         maybe = np.zeros(len(g.f), bool)
         maybe[ranked] = np.append(False, twin) | np.append(twin, False)
-        maybe |= _among(f[_starts(f)], g.f) >= 0
+        maybe |= _among(d[_starts(d)], g.d) >= 0
         order, new = g.distinct(np.flatnonzero(maybe))
         block = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
         first = order[new]
         later = g.id[order] > g.id[first][block]
         cover(g.i[order[later]], g.n[order[later]] + WINDOW - 1)
-        # both sides are sorted by (f, d) and distinct: their merge shows the equal ones
-        both_f, both_d = np.concatenate((f, g.f[first])), np.concatenate((d, g.d[first]))
-        by = np.lexsort((both_d, both_f))
-        same = np.flatnonzero((both_f[by][1:] == both_f[by][:-1]) & (both_d[by][1:] == both_d[by][:-1]))
+        # each mask goes to the segment of its name, by digest and then by tag
         told = np.zeros(len(first), np.int64)
-        told[by[same + 1] - len(f)] = mask[by[same]]
+        own_e = _tag(g.f[first])
+        at = np.searchsorted(d, g.d[first])
+        for step in range(int(np.diff(np.append(_starts(d), len(d))).max(initial=0))):
+            p = np.minimum(at + step, len(d) - 1)
+            hit = (d[p] == g.d[first]) & (e[p] == own_e)
+            told[hit] = mask[p[hit]]
         own = np.where(later, 0, told[block])
         at, count = g.i[order], g.n[order]
         whole = (own != 0) & (own == np.left_shift(1, count) - 1)
@@ -531,17 +556,24 @@ def _removed(g: _Group, news: pa.Table) -> np.ndarray:
         part = np.flatnonzero((own != 0) & ~whole)
         for k in range(RUN):
             cover(at[part[(own[part] >> k) & 1 == 1]] + k, WINDOW)
-        h1, h2, low = _route(news, "low")
+        h1, h2, low = _route(news, "low", np.uint64, np.uint64, np.int64)
         if len(h1):
             by = np.lexsort((low, h2, h1))
             h1, h2, low = h1[by], h2[by], low[by]
+            seen = np.zeros(1 << 20, bool)  # a first look that most windows fail
+            seen[h1 >> _U(44)] = True
             for s in range(0, size - WINDOW + 1, CHUNK):
-                x1, x2 = (_mix(_rolling(g.bytes[s : s + CHUNK + WINDOW - 1], base, (WINDOW,))[WINDOW]) for base in (_B1, _B2))
-                at = np.searchsorted(h1, x1)
-                w = np.flatnonzero((at < len(h1)) & (h1[np.minimum(at, len(h1) - 1)] == x1))
-                at = at[w]
+                part = g.bytes[s : s + CHUNK + WINDOW - 1]
+                x1 = _mix(_rolling(part, _B1, (WINDOW,))[WINDOW])
+                w = np.flatnonzero(seen[x1 >> _U(44)])
+                at = np.searchsorted(h1, x1[w])
+                hit = (at < len(h1)) & (h1[np.minimum(at, len(h1) - 1)] == x1[w])
+                w, at = w[hit], at[hit]
+                if not len(w):
+                    continue
+                x2 = _mix(_rolling(part, _B2, (WINDOW,))[WINDOW][w])
                 text = np.searchsorted(g.starts, w + s, "right") - 1
-                inside = (w + s + WINDOW <= g.ends[text]) & (h2[at] == x2[w]) & (low[at] < g.ids[text])
+                inside = (w + s + WINDOW <= g.ends[text]) & (h2[at] == x2) & (low[at] < g.ids[text])
                 cover(w[inside] + s, WINDOW)
     step = np.bincount(np.concatenate(begins), minlength=size + 1) - np.bincount(np.concatenate(ends), minlength=size + 1)
     return np.cumsum(step[:-1]) > 0
@@ -581,19 +613,20 @@ def remove_repeats(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
     groups = max(8, -(-total // GROUP_BYTES))
     shards = max(8, -(-total // SHARD_BYTES))
     bits = max(4, int(total // 16 // 250_000).bit_length())
+    spread = max(0, (shards - 1).bit_length() - bits)
     merge = max(MERGE_LEAST, shards)
     # dealt by id and text, so that rows without an id, or with one id, spread
     base = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(groups)).cast("int").alias("g"), *fields)
     listed = base.groupBy("g").applyInArrow(_list_fingerprints(bits), "bucket int, g int, f binary")
     shared = listed.groupBy("bucket").applyInArrow(_shared_fingerprints, "g int, f binary, level binary")
-    heads = base.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_head_segments(bits), "bucket int, g int, f binary, d binary, id binary, level binary, size binary")
-    resolved = heads.groupBy("bucket").applyInArrow(_resolve(HOT, shards), _ROUTE_SQL)
-    told = resolved.where("kind <> 'claim'").select("kind", "f", "d", "m", F.col("to").alias("g"))
-    sent = base.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_ship_segments(shards), "shard int, salted boolean, g binary, f binary, d binary, id binary, size binary, sent binary, body binary")
-    # one zero a claim: as many as sizes
-    claims = resolved.where("kind = 'claim'").select(F.col("to").alias("shard"), F.lit(False).alias("salted"), "g", "f", "d", F.col("m").alias("id"), F.col("s").alias("size"), F.expr("cast(repeat('\\0', octet_length(s)) as binary)").alias("sent"), F.lit(None).cast("binary").alias("body"))
+    heads = base.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_head_segments(bits, spread), _HEADS_SQL)
+    resolved = heads.groupBy("bucket").applyInArrow(_resolve(spread), _ROUTE_SQL)
+    told = resolved.where("kind <> 'claim'").select("kind", "e", "d", F.col("to").alias("g"))
+    sent = base.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_ship_segments(bits + spread), "shard int, salted boolean, g binary, e binary, d binary, id binary, size binary, body binary")
+    none = F.lit(None).cast("binary")
+    claims = resolved.where("kind = 'claim'").select(F.col("to").alias("shard"), F.lit(False).alias("salted"), "g", "e", "d", F.col("m").alias("id"), none.alias("size"), none.alias("body"))
     dealt = sent.unionByName(claims).groupBy("shard")
-    columns = ("kind", "f", "d", "m", F.col("to").alias("g"))
+    columns = ("kind", "e", "d", "m", F.col("to").alias("g"))
     merged = dealt.applyInArrow(_classes(merge, True), _ROUTE_SQL).groupBy("kind", "to").applyInArrow(_merge, _ROUTE_SQL)
     news = dealt.applyInArrow(_classes(merge, False), _ROUTE_SQL).select(*columns).unionByName(merged.select(*columns))
     names = ("doc_id", "row") if keep_rows else ("doc_id",)
