@@ -1,17 +1,20 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-A piece (one match of the split pattern) is halved recursively; the encodings of two halves are joined where they
-meet.  The join rests on one fact about rank-ordered BPE over a closed vocabulary: a token sequence is the encoding
-of its bytes exactly if every two neighbours are the encoding of their own bytes.  So a join looks at the two tokens
-at the seam.  If they are such a pair, the halves are concatenated as they are.  If not, a window that grows by a
-token on each side is encoded anew until its outermost tokens again form such pairs with the tokens outside; those
-outside are then proven final.  Joining is associative with the empty sequence as identity, hence a monoid.
-
-Pieces repeat, so encodings of pieces and verdicts on pairs are kept in bounded tables a task.  Decoding maps ids to
-bytes and concatenates.
-
-Defined results: null and empty text have no tokens and the digests of nothing; texts equal in bytes give equal ids;
-one very long piece costs O(n log n); an empty table gives an empty table; extra columns are ignored.
+A piece (one match of the split pattern) is halved recursively down to tokens and single bytes; the encodings of two
+halves are joined where they meet.  The join rests on one fact about rank-ordered BPE over a closed vocabulary, one
+whose every token is made by its own merges: a token sequence is the encoding of its bytes exactly if every two
+neighbours are the encoding of their own bytes.  So a join looks at the two tokens at the seam.  If they are such a
+pair, the halves are concatenated as they are.  If not, a window that grows by a token on each side is encoded anew
+until its outermost tokens again form such pairs with the tokens outside; those outside are then proven final.
+Joining is associative with the empty sequence as identity, hence a monoid.  ``closed`` checks the premise once a
+vocabulary, on the driver; a vocabulary that fails is refused.
+
+Decoding maps ids to bytes and concatenates neighbours up the tree.  Pieces repeat, so encodings of pieces and verdicts
+on pairs are kept in tables of bounded size, two generations each.
+
+Defined results: null and empty text have no tokens and the digests of nothing; bytes that are not UTF-8 are read as
+U+FFFD; texts equal in bytes give equal ids, and repeated rows or ids one row each; a null doc_id stays null; one very
+long piece costs O(n log n); an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 24
-KEPT = 700_000
-#: The longest piece whose encoding is kept.
+from .columns import frugal, strings
+
+#: Windows up to this size are encoded by the definition.
+WINDOW = 96
+#: Entries of one generation of a table.
+KEPT_PIECES = 100_000
+KEPT_PAIRS = 100_000
+#: The longest piece (characters) whose encoding is kept.
 KEPT_BYTES = 64
 
 
@@ -46,14 +54,17 @@ class Bpe:
         for token, rank in ranks.items():
             self.bytes[rank] = token
         self.longest = max(map(len, self.bytes))
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._packed: dict[str, bytes] = _Packed(self)
+        self._pairs = _Kept(self._pair, KEPT_PAIRS)
+        self._packed = _Kept(self._encoded, KEPT_PIECES)
+        self.joins = 0
 
     def merge(self, piece: bytes) -> list[int]:
         """The definition: merge the neighbours of lowest rank, leftmost first, until none is in the vocabulary."""
+        whole = self.ranks.get(piece)
+        return self._merges(piece) if whole is None else [whole]
+
+    def _merges(self, piece: bytes) -> list[int]:
         ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
         parts = [piece[i : i + 1] for i in range(len(piece))]
         near = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
         while near and (low := min(near)) < 1 << 60:
@@ -66,19 +77,23 @@ class Bpe:
                 near[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
         return [ranks[p] for p in parts]
 
+    def closed(self) -> bool:
+        """Whether every token is what its own bytes merge to."""
+        return all(self._merges(token) == [rank] for token, rank in self.ranks.items())
+
     def pair(self, a: int, b: int) -> bool:
         """Whether tokens a and b are the encoding of their own bytes."""
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) > KEPT:
-                self._pairs.clear()
-            joined = self.bytes[a] + self.bytes[b]
-            known = self._pairs[a, b] = joined not in self.ranks and self.merge(joined) == [a, b]
-        return known
+        return self._pairs[a << 32 | b]
+
+    def _pair(self, key: int) -> bool:
+        a, b = key >> 32, key & 0xFFFFFFFF
+        joined = self.bytes[a] + self.bytes[b]
+        return joined not in self.ranks and self._merges(joined) == [a, b]
 
     def join(self, x: list[int], y: list[int]) -> list[int]:
         """The monoid's operation: the encoding of the bytes of x followed by those of y."""
-        if not x or not y or self.pair(x[-1], y[0]):
+        self.joins += 1
+        if not x or not y or self._pairs[x[-1] << 32 | y[0]]:
             return x + y
         i, j = len(x) - 1, 1
         while True:
@@ -93,7 +108,7 @@ class Bpe:
 
     def _fold(self, piece: bytes) -> list[int]:
         """A window is short almost always; a long one is reduced like any piece, but from its left end."""
-        if len(piece) <= 4 * LEAF:
+        if len(piece) <= WINDOW:
             return self.merge(piece)
         return self._left(piece)
 
@@ -114,10 +129,11 @@ class Bpe:
         return out[::-1]
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        if len(piece) <= LEAF:
-            return self.merge(piece)
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        if not piece:
+            return []
         half = len(piece) // 2
         return self.join(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
 
@@ -128,25 +144,36 @@ class Bpe:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self._packed.__getitem__, self.split.findall(text)))
 
+    def _encoded(self, piece: str) -> bytes:
+        return np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        """Bytes of the tokens, neighbours concatenated level by level."""
+        parts = [self.bytes[i] for i in ids]
+        while len(parts) > 1:
+            last = parts[-1:] if len(parts) % 2 else []
+            parts = [a + b for a, b in zip(parts[::2], parts[1::2])] + last
+        return parts[0] if parts else b""
 
 
-class _Packed(dict):
-    """Piece to packed ids; short pieces stay while there is room."""
+class _Kept(dict):
+    """A function's results; what was not used for a whole generation goes.  Long keys are not kept."""
 
-    def __init__(self, bpe: Bpe):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.bpe = bpe
+        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        ids = np.array(self.bpe.encode_piece(raw), "<u4").tobytes()
-        if len(raw) <= KEPT_BYTES:
-            if len(self) >= KEPT:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if isinstance(key, str) and len(key) > KEPT_BYTES:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 @lru_cache(maxsize=2)
@@ -154,15 +181,23 @@ def _bpe(path: str, pattern: str) -> Bpe:
     return Bpe(read_ranks(path), pattern)
 
 
+@lru_cache(maxsize=8)
+def _check(path: str) -> None:
+    if not Bpe(read_ranks(path), "").closed():
+        raise ValueError(f"{path}: not every token is made by its own merges")
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids: array<int>); each executor reads the vocabulary from
     ``path``, once a worker.  Rows are independent: nothing is shuffled."""
+    _check(path)
 
+    @frugal
     def run(batches):
         bpe = _bpe(path, pattern)
         for batch in batches:
             n, ids_sha, text_sha, all_ids = [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in strings(batch.column("text")):
                 packed = bpe.encode_packed(text or "")
                 ids = np.frombuffer(packed, "<u4")
                 n.append(len(ids))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import frugal, strings
+
 _BLANK = r"[ \t\n\f\r]"
 #: Name and value of one attribute; a quote opens a string only at the start of a value.
 _PAIR = r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*)(?:B*=B*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^ \t\n\f\r>\"'][^ \t\n\f\r>]*)?)?".replace("B", _BLANK)
@@ -355,9 +357,10 @@ def page_text(source: str | None) -> str:
     return render(parse(source)) if source else ""
 
 
+@frugal
 def _run(batches):
     for batch in batches:
-        texts = [page_text(x) for x in batch.column("html").to_pylist()]
+        texts = [page_text(x) for x in strings(batch.column("html"))]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(texts, pa.string())], names=["page_id", "text"])
 
 

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import frugal
 from .graph import components
 from .scratch import materialize
 
@@ -90,6 +91,7 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array((flat ^ _FLIP).view(np.int64)))
 
 
+@frugal
 def _sketches(batches):
     words = _WordHashes()
     for batch in batches:
@@ -104,6 +106,7 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(sketches)], names=["doc_id", "n", "digest", "sketch"])
 
 
+@frugal
 def _full_sets(batches):
     words = _WordHashes()
     for batch in batches:

@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import give_back
+
 WINDOW = 50
 GRAM = 20
 GROUP_BYTES = 4 << 20
@@ -596,6 +598,7 @@ def _cut(names: tuple[str, ...]):
             raw = g.table.column("body").to_pylist()
             left = [None if x is None else y if not r else y.decode("utf-8", "ignore").encode() for x, y, r in zip(raw, kept, removed)]
             out |= {"kept": pa.array(left, pa.binary()), "emptied": pa.array([bool(r) and not y.strip() and bool(x.strip()) for x, y, r in zip(raw, left, removed)])}
+        give_back()
         return pa.table(out)
 
     return run
