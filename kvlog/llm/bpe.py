@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-A piece (one match of the split pattern) is halved recursively down to tokens and single bytes; the encodings of two
+A piece (one match of the split pattern) is halved recursively down to tokens or two bytes; the encodings of two
 halves are joined where they meet.  The join rests on one fact about rank-ordered BPE over a closed vocabulary, one
 whose every token is made by its own merges: a token sequence is the encoding of its bytes exactly if every two
 neighbours are the encoding of their own bytes.  So a join looks at the two tokens at the seam.  If they are such a
@@ -33,8 +33,11 @@ from .columns import frugal, strings
 #: Windows up to this size are encoded by the definition.
 WINDOW = 96
 #: Entries of one generation of a table.
-KEPT_PIECES = 100_000
-KEPT_PAIRS = 100_000
+KEPT_PIECES = 200_000
+KEPT_PAIRS = 150_000
+KEPT_HALVES = 50_000
+#: Halves up to this size (the longer one has a byte more) are kept.
+HALF_BYTES = 8
 #: The longest piece (characters) whose encoding is kept.
 KEPT_BYTES = 64
 
@@ -56,6 +59,7 @@ class Bpe:
         self.longest = max(map(len, self.bytes))
         self._pairs = _Kept(self._pair, KEPT_PAIRS)
         self._packed = _Kept(self._encoded, KEPT_PIECES)
+        self._halves = _Kept(self.encode_piece, KEPT_HALVES)
         self.joins = 0
 
     def merge(self, piece: bytes) -> list[int]:
@@ -66,7 +70,7 @@ class Bpe:
     def _merges(self, piece: bytes) -> list[int]:
         ranks = self.ranks
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        near = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
+        near = [ranks.get(piece[i : i + 2], 1 << 60) for i in range(len(piece) - 1)]
         while near and (low := min(near)) < 1 << 60:
             i = near.index(low)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
@@ -83,21 +87,24 @@ class Bpe:
 
     def pair(self, a: int, b: int) -> bool:
         """Whether tokens a and b are the encoding of their own bytes."""
-        return self._pairs[a << 32 | b]
+        return self._pairs[a << 32 | b] is True
 
-    def _pair(self, key: int) -> bool:
+    def _pair(self, key: int) -> bool | list[int]:
+        """True, or else the encoding of the bytes of both tokens."""
         a, b = key >> 32, key & 0xFFFFFFFF
-        joined = self.bytes[a] + self.bytes[b]
-        return joined not in self.ranks and self._merges(joined) == [a, b]
+        own = self.merge(self.bytes[a] + self.bytes[b])
+        return own == [a, b] or own
 
     def join(self, x: list[int], y: list[int]) -> list[int]:
         """The monoid's operation: the encoding of the bytes of x followed by those of y."""
         self.joins += 1
-        if not x or not y or self._pairs[x[-1] << 32 | y[0]]:
+        if not x or not y:
+            return x + y
+        middle = self._pairs[x[-1] << 32 | y[0]]
+        if middle is True:
             return x + y
         i, j = len(x) - 1, 1
         while True:
-            middle = self._fold(b"".join([self.bytes[t] for t in x[i:] + y[:j]]))
             left = i == 0 or self.pair(x[i - 1], middle[0])
             right = j == len(y) or self.pair(middle[-1], y[j])
             if left and right:
@@ -105,6 +112,7 @@ class Bpe:
             # twice as many tokens on the side that has not settled, so that a long ripple costs its own length
             i = i if left else max(0, i - (len(x) - i))
             j = j if right else min(len(y), 2 * j)
+            middle = self._fold(b"".join([self.bytes[t] for t in x[i:] + y[:j]]))
 
     def _fold(self, piece: bytes) -> list[int]:
         """A window is short almost always; a long one is reduced like any piece, but from its left end."""
@@ -132,10 +140,11 @@ class Bpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if not piece:
-            return []
+        if len(piece) < 3:  # two bytes that are no token, or none
+            return list(map(self.ranks.__getitem__, (piece[:1], piece[1:]))) if piece else []
         half = len(piece) // 2
-        return self.join(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
+        encode = self._halves.__getitem__ if half <= HALF_BYTES else self.encode_piece
+        return self.join(encode(piece[:half]), encode(piece[half:]))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
