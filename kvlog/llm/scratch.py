@@ -64,10 +64,12 @@ def materialize(df: DataFrame, label: str, most: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release() -> None:
     """Delete every scratch table written so far; callers do this once results that read them are stored."""
     while _written:
-        spark, path = _written.pop()
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        delete(*_written.pop())

@@ -327,14 +327,55 @@ def test_viterbi_against_all_paths():
         at += n
 
 
-def test_pipeline(spark):
+def cut(rows):
+    """Texts of ``rows`` (id, text) without repeated bytes, None for those of which nothing but blanks is left."""
+    low = {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        b = t.encode()
+        for p in range(len(b) - 49):
+            low.setdefault(b[p : p + 50], i)
+    out = {}
+    for i, t in rows:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if low[b[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        left = bytes(x for x, y in zip(b, gone) if not y).decode("utf-8", "ignore")
+        out[i] = None if any(gone) and not left.strip() else left
+    return out
+
+
+def test_pipeline(spark, tmp_path):
+    """All five stages against brute force, over a table with repeats, nulls, empty texts and an extra column."""
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    kept = [(r[0], r[1]) for r in quality.keep_good(docs).select("doc_id", "text").collect()]
-    near = components(kept)
-    kept = [(i, t) for i, t in kept if near[i][1] == i]
-    gone = repeats(kept)
-    assert {r[0] for r in out.select("doc_id").distinct().collect()} <= {i for i, _ in kept if gone[i][1] < gone[i][0]}
-    assert out.count() > 0
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    top = max(r[0] for r in rows)
+    good = next(r for r in rows if r[1] and len(r[1].split()) > 60)
+    rows += [(top + 1, None, "en", "src0"), (top + 2, "", None, None), (top + 3, good[1] + " \ufffd tail", None, "src1"), good, (top + 4, good[1][:400] + prose(80), "en", "src2")]
+    schema = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame([r + ("x", r[0]) for r in rows], schema + ", copy_no string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]))
+    fine = {r[0] for r in con.execute(f"select doc_id from ({quality.ORACLE}) where kept").fetchall()}
+    kept = {(r[0], r[1]): r for r in rows if r[0] in fine}
+    near = components([k for k in kept])
+    kept = [r for r in kept.values() if near[r[0]][1] == r[0]]
+    texts = cut([(r[0], r[1]) for r in kept])
+    kept = [(r[0], texts[r[0]], r[3]) for r in kept if texts[r[0]] is not None]
+    chars = {}
+    for _, t, src in kept:
+        k = src if src in mixing.TARGETS else None
+        chars[k] = chars.get(k, 0) + len(t)
+    total, rest = sum(chars.values()), 1 - sum(mixing.TARGETS.values())
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    want = []
+    for i, t, src in kept:
+        k = src if src in mixing.TARGETS else None
+        rate = mixing.TARGETS.get(k, rest) * total / chars[k]
+        u = int(hashlib.md5(f"{i}:mix17".encode()).hexdigest()[:13], 16) / (1 << 52)
+        want += [(i, hashlib.sha256(np.array(encoding.encode_ordinary(t), "<u4").tobytes()).hexdigest())] * sum(x <= u for x in mixing.poisson_steps(rate))
+    assert sorted((r["doc_id"], r["ids_sha256"]) for r in out) == sorted(want) and want
