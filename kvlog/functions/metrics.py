@@ -24,6 +24,28 @@ def latency(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return counts.groupBy(*by).agg(F.first("n").alias("operations"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
+def points(ops: DataFrame, ts: str, order: str, value: str, samples: int = 4096, most: int = 600) -> DataFrame:
+    """The newest ``most`` seconds with operations: at, operations, and p50, p95, p99 of the last ``samples`` values
+    as of the end of each second.
+
+    No second needs more than its own last ``samples`` values, so what is laid out in one order is bounded by
+    (most + 1) * samples values, whatever the input.
+    """
+    rows = ops.where(F.col(value).isNotNull()).select(F.date_trunc("second", ts).alias("at"), F.struct(F.col(ts).alias("t"), F.col(order).alias("o")).alias("k"), F.col(value).alias("x"))
+    newest = rows.groupBy("at").agg(F.count("*").alias("operations")).orderBy(F.desc("at")).limit(most)
+    first = newest.agg(F.min("at")).first()[0]
+    late = rows.where(F.col("at") >= F.lit(first)).withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("k")))).where(F.col("r") <= samples).drop("r")
+    early = rows.where(F.col("at") < F.lit(first)).orderBy(F.desc("k")).limit(samples)
+    kept = late.unionByName(early)
+    line = kept.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda v: v["x"]).alias("line"), F.lit(1).alias("one"))
+    ends = kept.groupBy("at").agg(F.count("*").alias("n")).withColumn("last", F.sum("n").over(Window.orderBy("at")))
+    out = newest.join(ends, "at").withColumn("one", F.lit(1)).join(line, "one")
+    start = F.greatest(F.lit(0), F.col("last") - samples)
+    window = F.sort_array(F.slice("line", (start + 1).cast("int"), (F.col("last") - start).cast("int")))
+    out = out.withColumn("w", window)
+    return out.select("at", "operations", *[percentile(F.col("w"), p).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+
+
 def operation_counts(ops: DataFrame, kind: str, failed: Column) -> DataFrame:
     return ops.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("operations"), F.count_if(failed).alias("errors"))
 

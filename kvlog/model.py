@@ -92,6 +92,8 @@ class Options:
     #: Fixed part of an entry's size in memory; the value is that of a 64-bit build and only moves flush points.
     entry_overhead_bytes: int = 56
     validate_on_open: bool = False
+    #: An opener that has not committed for so long may be taken for dead.
+    lease_seconds: int = 3600
 
     def __post_init__(self):
         may_be_zero = {"block_cache_bytes", "compaction_table_trigger", "max_active_snapshots", "entry_overhead_bytes"}

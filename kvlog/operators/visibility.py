@@ -91,6 +91,12 @@ def require_unique(log: DataFrame) -> DataFrame:
     return log
 
 
+def applied(arrived: DataFrame, order: str) -> DataFrame:
+    """Entries with ``applied``: whether the sequence exceeds all that arrived for the key before (by ``order``)."""
+    before = Window.partitionBy("user_key").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return arrived.withColumn("applied", F.coalesce(F.col("seq") > F.max("seq").over(before), F.lit(True)))
+
+
 def sequence_faults(log: DataFrame, floor: int | Column = 0) -> DataFrame:
     """(seq, fault) of sequences that do not exceed the floor or repeat; gaps are no fault."""
     per = log.groupBy("seq").agg(F.count("*").alias("n"))

@@ -11,27 +11,13 @@ from pyspark.sql import functions as F
 from ..cli import base64_column
 from ..functions import folds, metrics
 from ..operators import retention, runs, visibility
+from . import store_queries
+from .base import LOG_SQL, Query, events_log, visible_sql
 
-Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a log: one key a user, an error event deletes."""
-    gone = F.col("event_type") == "error"
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("user_key"), (F.col("event_id") + 1).alias("seq"), gone.alias("tombstone"), F.when(~gone, F.col("props")).alias("value"))
-
-
-LOG_SQL = """log AS (SELECT CAST(user_id AS VARCHAR) AS user_key, event_id + 1 AS seq, event_type = 'error' AS tombstone,
-  CASE WHEN event_type <> 'error' THEN props END AS value FROM events)"""
-
-
-def visible_sql(where: str = "TRUE", log: str = "log") -> str:
-    return f"""SELECT user_key AS key, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS rn
-  FROM {log} WHERE {where}) WHERE rn = 1 AND NOT tombstone"""
-
-
 def _add(name: str, query: Query, sql: str | None, log: bool = True) -> None:
     _QUERIES[name] = query
     if sql is not None:
@@ -49,7 +35,7 @@ _on_log("vis01_asof_view_hash", lambda log: visibility.visible(log, S, form="has
 _on_log("vis02_latest_view", visibility.visible, visible_sql())
 _on_log("vis03_key_history", lambda log: visibility.history(log, "42"), "SELECT * FROM log WHERE user_key = '42'")
 _on_log("get01_hit", lambda log: visibility.get(log, "42"), visible_sql("user_key = '42'"))
-_on_log("get02_at_snapshot", lambda log: visibility.get(log, "42", 3000), visible_sql("user_key = '42' AND seq <= 3000"))
+_on_log("get02_at_snapshot", lambda log: visibility.get(log, "7", 800), visible_sql("user_key = '7' AND seq <= 800"))
 _on_log("get01_missing", lambda log: visibility.get(log, "no such key"), visible_sql("user_key = 'no such key'"))
 _on_log("get03_tombstone", lambda log: visibility.newest(log).where("tombstone").select("user_key", "seq"), "SELECT user_key, seq FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1 AND tombstone")
 _on_log("scn01_range_scan", lambda log: visibility.scan(log, "2", "5"), visible_sql("user_key >= '2' AND user_key < '5'"))
@@ -62,11 +48,6 @@ SELECT coalesce(o.key, n.key) AS key, CASE WHEN n.key IS NULL THEN 'deleted' WHE
   o.value AS old_value, n.value AS new_value FROM o FULL JOIN n ON o.key = n.key WHERE o.key IS NULL OR n.key IS NULL OR o.value IS DISTINCT FROM n.value""")
 _add(
     "get08_multi_get",
-    lambda spark, d: visibility.multi_get(events_log(spark, d), spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key")).where("cast(key as int) % 3 = 0")),
-    visible_sql("user_key IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 3 = 0)"),
-)
-_add(
-    "get08_multi_get_all",
     lambda spark, d: visibility.multi_get(events_log(spark, d), spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"))),
     visible_sql("user_key IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)"),
 )
@@ -91,11 +72,6 @@ def _slices(log: DataFrame, n: int) -> list[DataFrame]:
     return [log.where(f"seq > {low} and seq <= {high}") for low, high in zip(bounds, bounds[1:])]
 
 
-def _prefix(log: DataFrame, trigger: int = 4) -> DataFrame:
-    """The oldest ``trigger`` runs of 1,000 sequences (all, if there are fewer) as one run."""
-    return visibility.merge([log.where(f"seq > {i * 1000} and seq <= {(i + 1) * 1000}") for i in range(trigger)])
-
-
 def _after_prefix(log: DataFrame, n: int = 8, trigger: int = 4) -> DataFrame:
     """The whole log after the oldest ``trigger`` of its n runs became run 0; newer runs keep their numbers."""
     found = _slices(log, n)
@@ -104,8 +80,7 @@ def _after_prefix(log: DataFrame, n: int = 8, trigger: int = 4) -> DataFrame:
 
 
 # Merge and integrity
-_on_log("mrg01_merged_history", lambda log: visibility.merge([log.where(f"seq > {i * 2500} and seq <= {(i + 1) * 2500}") for i in range(4)]), "SELECT * FROM log WHERE seq <= 10000")
-_on_log("mrg01_merged_history_all", lambda log: visibility.merge(_slices(log, 4)), "SELECT * FROM log")
+_on_log("mrg01_merged_history", lambda log: visibility.merge(_slices(log, 4)), "SELECT * FROM log")
 _add("mrg02_duplicate_versions", lambda spark, d: visibility.duplicates(spark.read.parquet(f"{d}/lineitem.parquet"), ("l_orderkey", "l_linenumber")), "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1", log=False)
 _on_log("wal_sequence_faults", lambda log: visibility.sequence_faults(log.select((F.col("seq") - F.col("seq") % 7).alias("seq")), 70), "SELECT seq, CASE WHEN seq <= 70 THEN 'floor' ELSE 'repeat' END AS fault FROM (SELECT seq - seq % 7 AS seq FROM log) GROUP BY seq HAVING seq <= 70 OR count(*) > 1")
 _on_log("wrt04_batch_validation", lambda log: log.groupBy((F.floor((F.col("seq") - 1) / 500)).cast("long").alias("batch")).agg(F.count("*").alias("operations"), F.max(F.octet_length("user_key")).cast("long").alias("longest_key"), F.max(F.octet_length("value")).cast("long").alias("longest_value"), F.sum((F.octet_length("user_key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long")).alias("bytes")), "SELECT (seq - 1) // 500 AS batch, count(*) AS operations, CAST(max(strlen(user_key)) AS BIGINT) AS longest_key, CAST(max(strlen(value)) AS BIGINT) AS longest_value, CAST(sum(strlen(user_key) + coalesce(strlen(value), 0)) AS BIGINT) AS bytes FROM log GROUP BY ALL")
@@ -113,8 +88,7 @@ _on_log("wrt10_version_steps", lambda log: log.groupBy("user_key").agg(F.count("
 
 # Retention
 _GC = f"SELECT user_key, seq, tombstone, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key, seq <= {W} ORDER BY seq DESC) AS r FROM log) WHERE seq > {W} OR r = 1"
-_on_log("cmp03_partial_prefix", _prefix, "SELECT * FROM log WHERE seq <= 4000")
-_on_log("cmp03_partial_prefix_all", _after_prefix, "SELECT log.*, CAST(CASE WHEN (seq - 1) * 8 // m < 4 THEN 0 ELSE (seq - 1) * 8 // m END AS INTEGER) AS run_no FROM log, (SELECT max(seq) AS m FROM log)")
+_on_log("cmp03_partial_prefix", _after_prefix, "SELECT log.*, CAST(CASE WHEN (seq - 1) * 8 // m < 4 THEN 0 ELSE (seq - 1) * 8 // m END AS INTEGER) AS run_no FROM log, (SELECT max(seq) AS m FROM log)")
 _on_log("cmp04_gc_no_snapshot", retention.compact, "SELECT user_key, seq, tombstone, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1 AND NOT tombstone")
 _on_log("cmp05_gc_watermark", lambda log: retention.compact(log, W), _GC)
 _on_log("cmp06_retained", lambda log: retention.retained(log, W), f"SELECT count(*) AS versions, CAST(sum(strlen(user_key) + coalesce(strlen(value), 0)) AS BIGINT) AS bytes FROM ({_GC})")
@@ -180,9 +154,14 @@ def _fold(name: str, fold, columns: list[str]) -> Query:
     return run
 
 
-_add("wrt07_group_packing", _fold("group_no", lambda sizes: folds.pack_groups(sizes, 8, 200), ["size"]), None)
-_add("wrt12_rotation", _fold("generation", lambda sizes, groups: folds.rotate(sizes, groups, 5000), ["size", "grp"]), None)
-_add("snk01_block_cut", _fold("block_no", lambda sizes, keys: folds.cut_blocks([(b"%d" % k, s) for k, s in zip(keys, sizes)], 4096), ["size", "grp"]), None)
+_FOLD_SQL = """WITH RECURSIVE e AS (SELECT event_type AS store, event_id AS n, CAST(strlen(props) AS BIGINT) AS size, event_id // 8 AS grp,
+  row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events),
+f(store, i, {names}) AS (SELECT store, i, {first} FROM e WHERE i = 1
+  UNION ALL SELECT e.store, e.i, {next} FROM f JOIN e ON e.store = f.store AND e.i = f.i + 1)
+SELECT e.store, e.n, e.size, e.grp, CAST(f.{out} AS BIGINT) AS {out} FROM f JOIN e USING (store, i)"""
+_add("wrt07_group_packing", _fold("group_no", lambda: folds.GroupPacker(8, 200), ["size"]), _FOLD_SQL.format(first="0 AS group_no, 1 AS c, size AS h", next="CASE WHEN {cut} THEN f.group_no + 1 ELSE f.group_no END, CASE WHEN {cut} THEN 1 ELSE f.c + 1 END, CASE WHEN {cut} THEN e.size ELSE f.h + e.size END".format(cut="(f.c >= 8 OR f.h + greatest(e.size, 1) > 200)"), names="group_no, c, h", out="group_no"), log=False)
+_add("wrt12_rotation", _fold("generation", lambda: folds.Rotation(5000), ["size", "grp"]), _FOLD_SQL.format(first="0 AS generation, size AS h, grp AS lastg", next="CASE WHEN {cut} THEN f.generation + 1 ELSE f.generation END, CASE WHEN {cut} THEN e.size ELSE f.h + e.size END, e.grp".format(cut="(e.grp <> f.lastg AND f.h >= 5000)"), names="generation, h, lastg", out="generation"), log=False)
+_add("snk01_block_cut", _fold("block_no", lambda: folds.BlockCutter(4096), ["grp", "size"]), _FOLD_SQL.format(first="0 AS block_no, 21 + strlen(CAST(grp AS VARCHAR)) + size AS h, 1 AS c, grp AS lastk", next="CASE WHEN {cut} THEN f.block_no + 1 ELSE f.block_no END, CASE WHEN {cut} THEN {own} ELSE f.h + {own} END, CASE WHEN {cut} THEN 1 ELSE f.c + 1 END, e.grp".format(cut="(e.grp <> f.lastk AND f.h + 21 + strlen(CAST(e.grp AS VARCHAR)) + e.size + (f.c + 1) * 4 + 8 > 4096)", own="(21 + strlen(CAST(e.grp AS VARCHAR)) + e.size)"), names="block_no, h, c, lastk", out="block_no"), log=False)
 
 
 def _stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,11 +187,11 @@ _add("stream_latest_view", _stream_latest, visible_sql())
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | store_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | store_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

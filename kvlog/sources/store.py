@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import base64
 import json
+import os
+import socket
+import time
 import uuid
 from collections import Counter
 from dataclasses import asdict, dataclass, field
@@ -97,10 +100,12 @@ class Store:
                 raise InvalidArgument(f"{path} holds other files")
             files.mkdirs()
         open_id = uuid.uuid4().hex
-        if not files.create("LOCK", open_id.encode()):
-            raise IOFailure(f"{path} is open already")
+        _lease(files, open_id, options.lease_seconds)
         try:
-            names = [n for n in files.names() if n.startswith("manifest-")]
+            for n in files.names():  # left by a commit that its driver did not live to finish
+                if n.startswith(("claim-manifest-", "temporary-")):
+                    files.delete(n)
+            names = [n for n in files.names() if n.startswith("manifest-") and files.size(n)]
             if not names:
                 files.create(_manifest(0), State(store_id=uuid.uuid4().hex).to_json())
                 names = [_manifest(0)]
@@ -119,7 +124,8 @@ class Store:
     def close(self) -> None:
         if self._dead != "closed":
             self._dead = "closed"
-            self.files.delete("LOCK")
+            if _holder(self.files).get("open_id") == self._open_id:
+                self.files.delete("LOCK")
 
     def __enter__(self) -> Store:
         return self
@@ -246,7 +252,7 @@ class Store:
         if batch_id is not None and batch_id in self._state.batches:
             return
         bad = ~F.col("op").isin("put", "delete") | F.col("key").isNull() | ((F.col("op") == "put") != F.col("value").isNotNull())
-        bad |= (F.octet_length("key") > self.options.max_key_bytes) | (F.octet_length("value") > self.options.max_value_bytes)
+        bad |= (F.octet_length("key") > self.options.max_key_bytes) | (F.coalesce(F.octet_length("value"), F.lit(0)) > self.options.max_value_bytes)
         staged = f"stage-{uuid.uuid4().hex}"
         where = f"{self.files.root}/data/{staged}"
         ordered = mutations.repartitionByRange("ordinal").sortWithinPartitions("ordinal").withColumn("part", F.spark_partition_id())
@@ -295,6 +301,7 @@ class Store:
         return dict(Counter(self._state.counters) + Counter(more))
 
     def _publish(self, **changes) -> None:
+        _renew(self.files, self._open_id, self.options.lease_seconds)
         d = asdict(self._state) | {k: [asdict(r) for r in v] if k in ("runs", "deltas") else v for k, v in changes.items()}
         d["version"] += 1
         live = d["runs"] + d["deltas"]
@@ -365,11 +372,17 @@ class Store:
         return gone
 
     def validate(self) -> None:
-        """Compare every live file with its manifest row, and look for repeated versions."""
-        for r in self._state.runs + self._state.deltas:
-            df = self.spark.read.schema(model.LOG).parquet(f"{self.files.root}/data/{r.name}")
-            got = df.agg(F.count("*"), F.min("user_key"), F.max("user_key"), F.min("seq"), F.max("seq")).first()
-            if (got[0], bytes(got[1] or b""), bytes(got[2] or b"")) != (r.entries, *r.keys) or not r.min_seq <= got[3] <= got[4] <= r.max_seq:
+        """Compare every live file with its manifest row, all in one job, and look for repeated versions."""
+        live = self._state.runs + self._state.deltas
+        if not live:
+            return
+        df = self.spark.read.schema(model.LOG).parquet(*[f"{self.files.root}/data/{r.name}" for r in live])
+        name = F.element_at(F.split(F.input_file_name(), "/"), -2)
+        got = df.groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.min("user_key"), F.max("user_key"), F.min("seq"), F.max("seq"))
+        found = {g[0]: g for g in got.collect()}  # one row a live file, as many as the manifest has
+        for r in live:
+            g = found.get(r.name)
+            if g is None or (g[1], bytes(g[2]), bytes(g[3])) != (r.entries, *r.keys) or not r.min_seq <= g[4] <= g[5] <= r.max_seq:
                 raise Corruption(f"run {r.number} differs from the manifest")
         visibility.require_unique(self.log())
 
@@ -386,6 +399,10 @@ class Store:
         rows += [(n, "temporary" if n.startswith("stage-") else "run", "live" if n in live else "temporary" if n.startswith("stage-") else "orphan", self.files.size(f"data/{n}")) for n in self.files.names("data")]
         return self.spark.createDataFrame(rows, "name string, kind string, state string, bytes long")
 
+    def bytes_by_kind(self) -> DataFrame:
+        """(kind, state, files, bytes) of the store's folder."""
+        return self.files_listing().groupBy("kind", "state").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+
     def all_metrics(self) -> dict[str, float | int | None]:
         """Counters of commits and reads; block cache and lock figures have no counterpart and are null."""
         c = Counter(self._state.counters)
@@ -393,6 +410,9 @@ class Store:
         debt = max(0, len(runs) - trigger + 1) if trigger else 0
         return dict(c) | dict(self.metrics) | {
             "live_tables": len(runs),
+            "last_sequence": self._state.last_sequence,
+            "live_entries": sum(r.entries for r in runs),
+            "live_logical_bytes": sum(r.logical_bytes for r in runs),
             "live_bytes": live,
             "debt_tables": debt,
             "debt_bytes": sum(r.size for r in runs[:trigger]) if debt else 0,
@@ -437,6 +457,47 @@ class Cursor:
         return bytes(self._row["value"])
 
 
+def _holder(files: Files) -> dict:
+    try:
+        return json.loads(files.read("LOCK"))
+    except Exception:  # gone, or of an unknown form
+        return {}
+
+
+def _lease_text(open_id: str, seconds: float) -> bytes:
+    return json.dumps({"open_id": open_id, "host": socket.gethostname(), "pid": os.getpid(), "until": time.time() + seconds}).encode()
+
+
+def _lease(files: Files, open_id: str, seconds: float) -> None:
+    """Become the store's one opener.  The lock of an opener that has died goes: its process is gone from this host,
+    or its lease has run out.  Commits are safe even if it still lives, because a manifest is created exclusively."""
+    if files.exists("LOCK"):
+        holder = _holder(files)
+        dead = holder.get("host") == socket.gethostname() and not _alive(holder.get("pid", 0))
+        if not dead and holder.get("until", 0) > time.time():
+            raise IOFailure(f"{files.root} is open already")
+        files.delete("LOCK")
+    if not files.create("LOCK", _lease_text(open_id, seconds)):
+        raise IOFailure(f"{files.root} is open already")
+
+
+def _renew(files: Files, open_id: str, seconds: float) -> None:
+    holder = _holder(files)
+    if holder.get("open_id") == open_id and holder["until"] - time.time() < seconds / 2:
+        files.delete("LOCK")
+        files.create("LOCK", _lease_text(open_id, seconds))
+
+
+def _alive(pid: int) -> bool:
+    try:
+        os.kill(pid, 0)
+    except ProcessLookupError:
+        return False
+    except PermissionError:
+        pass
+    return pid > 0
+
+
 def _manifest(version: int) -> str:
     return f"manifest-{version:020d}.json"
 

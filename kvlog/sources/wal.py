@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import glob
+import os
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.formats import decode_log
+from ..model import Corruption
 
 SCHEMA = "file string, record long, user_key binary, seq long, tombstone boolean, value binary"
+_ARROW = pa.schema([("file", pa.string()), ("record", pa.int64()), ("user_key", pa.binary()), ("seq", pa.int64()), ("tombstone", pa.bool_()), ("value", pa.binary())])
 
 
 def _rows(name: str, data: bytes, floor: int = 0):
@@ -15,21 +21,46 @@ def _rows(name: str, data: bytes, floor: int = 0):
         yield name, number, e.key, e.seq, e.tombstone, None if e.tombstone else e.value
 
 
-def read_wal(spark: SparkSession, path: str) -> DataFrame:
-    """One row per entry of all files under ``path``, on any store; a file is decoded by one task."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def decode_wal(files: DataFrame, floor: int = 0) -> DataFrame:
+    """One row per entry of log files given as (path, content); a file is decoded by one task."""
 
     def run(batches):
-        import pandas as pd
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                columns = list(zip(*_rows(name, data, floor)))
+                if columns:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _ARROW)], schema=_ARROW)
+
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
+
 
-        for pdf in batches:
-            rows = [r for name, data in zip(pdf["path"], pdf["content"]) for r in _rows(name, bytes(data))]
-            yield pd.DataFrame(rows, columns=["file", "record", "user_key", "seq", "tombstone", "value"])
+def recover_wal(files: DataFrame, floor: int = 0) -> DataFrame:
+    """What a recovery finds in each log file given as (path, content): entries, max_sequence, valid_bytes,
+    truncated_tail (an incomplete last record is left out), and error (null, or what makes the file corrupt)."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    found, used = decode_log(data, floor)
+                    rows.append({"path": name, "entries": len(found), "max_sequence": found[-1][1].seq if found else None, "valid_bytes": used, "truncated_tail": used < len(data), "error": None})
+                except Corruption as e:
+                    rows.append({"path": name, "error": str(e)})
+            schema = pa.schema([("path", pa.string()), ("entries", pa.int64()), ("max_sequence", pa.int64()), ("valid_bytes", pa.int64()), ("truncated_tail", pa.bool_()), ("error", pa.string())])
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, "path string, entries long, max_sequence long, valid_bytes long, truncated_tail boolean, error string")
+
+
+def read_wal(spark: SparkSession, path: str, floor: int = 0) -> DataFrame:
+    """One row per entry of all files under ``path``, on any store."""
+    return decode_wal(spark.read.format("binaryFile").load(path), floor)
 
 
 class WalSource(DataSource):
+    """``path`` is a file, a folder or a pattern; option ``floor`` is the sequence that all entries must exceed."""
+
     @classmethod
     def name(cls) -> str:
         return "kvwal"
@@ -38,15 +69,21 @@ class WalSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return WalReader(self.options["path"])
+        return WalReader(self.options["path"], int(self.options.get("floor", 0)))
 
 
 class WalReader(DataSourceReader):
-    """Reads a local file; ``read_wal`` reads from any store."""
+    """Reads files that every executor sees by one path, one partition each; ``read_wal`` reads from any store."""
+
+    def __init__(self, path: str, floor: int = 0):
+        self.path, self.floor = path.removeprefix("file://"), floor
 
-    def __init__(self, path: str):
-        self.path = path
+    def partitions(self):
+        found = glob.glob(os.path.join(self.path, "*.wal") if os.path.isdir(self.path) else self.path)
+        if not found:
+            raise FileNotFoundError(self.path)
+        return [InputPartition(p) for p in sorted(found)]
 
     def read(self, partition):
-        with open(self.path.removeprefix("file://"), "rb") as f:
-            yield from _rows(self.path, f.read())
+        with open(partition.value, "rb") as f:
+            yield from _rows(partition.value, f.read(), self.floor)

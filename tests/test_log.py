@@ -189,3 +189,100 @@ def test_options():
     for bad in ({"memtable_bytes": 0}, {"compaction_table_trigger": 1}):
         with pytest.raises(model.InvalidArgument):
             model.Options(**bad)
+
+
+def test_workload_follows_its_generator():
+    """Worked out by hand from the generator: state = state * multiplier + increment, first key, then kind."""
+    state, want = 9, []
+    draws = []
+    for _ in range(12):
+        state = (state * 6364136223846793005 + 1442695040888963407) % 2**64
+        draws.append(state)
+    for n in range(4):
+        which, slot, kind = draws[3 * n : 3 * n + 3]
+        slot = slot % 2 if which % 100 < 80 else slot % 10
+        want.append((n, "put" if kind % 100 < 50 else "get" if kind % 100 < 80 else "delete", b"key-%08d" % slot))
+    got = list(workload.operations(workload.Workload(operation_count=4, seed=9)))
+    assert [g[:3] for g in got] == want
+    assert all(v is None or (len(v) == 16 and v.startswith(b"value-%d" % n)) for n, _, _, v in got)
+
+
+def test_store_survives_a_killed_opener(spark, tmp_path):
+    path = str(tmp_path / "k")
+    s = Store.open(spark, path)
+    s.put(b"a", b"1")
+    with pytest.raises(model.IOFailure):
+        Store.open(spark, path)
+    import json
+    import subprocess
+    import sys
+
+    child = subprocess.Popen([sys.executable, "-c", ""])
+    child.wait()
+    holder = json.loads(s.files.read("LOCK"))
+    for gone in (holder | {"pid": child.pid}, holder | {"host": "elsewhere", "until": 0}):
+        s.files.delete("LOCK")
+        assert s.files.create("LOCK", json.dumps(gone).encode())
+        with Store.open(spark, path) as again:
+            assert again.get(b"a") == b"1"
+        assert not s.files.exists("LOCK")
+        assert s.files.create("LOCK", json.dumps(holder).encode())
+    s.files.delete("LOCK")
+    assert s.files.create("LOCK", json.dumps(holder | {"host": "elsewhere"}).encode())
+    with pytest.raises(model.IOFailure):
+        Store.open(spark, path)
+
+
+def test_a_commit_that_its_driver_did_not_finish_is_not_there(spark, tmp_path):
+    path = str(tmp_path / "c")
+    with Store.open(spark, path) as s:
+        s.put(b"a", b"1")
+    (tmp_path / "c" / "temporary-x").write_bytes(b"{")
+    (tmp_path / "c" / "claim-manifest-00000000000000000002.json").write_bytes(b"")
+    (tmp_path / "c" / "manifest-00000000000000000002.json").write_bytes(b"")
+    with Store.open(spark, path) as s:
+        assert s.get(b"a") == b"1"
+    (tmp_path / "c" / "manifest-00000000000000000003.json").write_bytes(b"{}")
+    with pytest.raises(model.Corruption):
+        Store.open(spark, path)
+
+
+def test_files_are_whole_or_absent(spark, tmp_path):
+    from kvlog.sources.files import Files
+
+    files = Files(spark, str(tmp_path / "f"))
+    files.mkdirs()
+    assert files.create("x", b"one") and not files.create("x", b"two") and files.read("x") == b"one"
+    assert files.names() == ["x"] or files.names() == [".x.crc", "x"]
+
+
+def test_wal_limits_floor_and_torn_tails(spark, tmp_path):
+    data = formats.encode_batch([Entry(b"a", 5, False, b"x"), Entry(b"bb", 6, True)]) + formats.encode_record(Entry(b"c", 7, False, b"yy"))
+    with pytest.raises(model.Corruption):
+        formats.decode_log(data, 0, max_key_bytes=1)
+    with pytest.raises(model.Corruption):
+        formats.decode_log(data, 0, max_value_bytes=1)
+    for n in (1, 2):
+        (tmp_path / f"00000{n}.wal").write_bytes(data[: None if n == 1 else -1])
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    from kvlog.sources.wal import recover_wal
+
+    got = [tuple(r)[1:] for r in recover_wal(files).orderBy("path").collect()]
+    assert [g[0] for g in got] == [3, 2] and [g[3] for g in got] == [False, True] and got[0][2] == len(data)
+    assert all(r["error"] for r in recover_wal(files, floor=5).collect())
+    spark.dataSource.register(WalSource)
+    df = spark.read.format("kvwal").load(str(tmp_path))
+    assert df.count() == 5 and df.rdd.getNumPartitions() == 2
+
+
+def test_group_packing_counts_operations():
+    pack = folds.GroupPacker(8, 100, 10)
+    assert [pack(1, n) for n in (4, 6, 1, 20, 1)] == [0, 0, 1, 2, 3]
+    assert folds.pack_groups([100, 0, 0], 8, 100) == [0, 1, 1]
+
+
+def test_frame_with_deletes(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "d")) as s:
+        s.write_frame(spark.createDataFrame([(1, "put", bytearray(b"q"), bytearray(b"1")), (2, "delete", bytearray(b"q"), None), (3, "put", bytearray(b"r"), bytearray(b""))], "ordinal long, op string, key binary, value binary"))
+        assert view(s.scan()) == [(b"r", b"")]
+        s.validate()
