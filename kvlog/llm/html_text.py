@@ -1,13 +1,15 @@
 """Visible text of HTML pages, laid out.
 
 A tokenizer and a tree builder with implied tags (a new block closes an open paragraph, an item closes an item, a
-cell closes a cell) give a tree; visibility rules drop what a browser does not show; the renderer keeps the space
-between blocks, list markers with indentation, preformatted text, and table cells aligned in columns.  Everything is
-iterative, so depth is no limit.
+cell closes a cell) give a tree; visibility rules drop what a browser does not show: hidden elements, display and
+inherited visibility in style attributes and in simple rules of style elements, closed details and dialogs.  The
+renderer keeps the space between blocks, list markers with indentation and numbers, preformatted text, and table cells
+aligned in columns and rows.  Everything is iterative, and open elements are counted by tag, so depth costs nothing.
 
 Defined results: null or empty html gives empty text; a page without visible text gives ''; unclosed, stray and
-misnested tags follow the rules above; equal pages give equal text; an empty table gives an empty table; extra
-columns are ignored.
+misnested tags follow the rules above; bytes that are not UTF-8 are read as U+FFFD; a very long page is read whole, by
+one task; equal pages give equal text, repeated rows or ids one row each, and a null page_id stays null; an empty table
+gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,12 +31,17 @@ _PAIR = r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*)(?:B*=B*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|
 _ATTR = re.compile(_PAIR)
 _PAIRS = re.sub(r"\((?!\?)", "(?:", _PAIR)
 _TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^ \t\n\f\r/>]*)((?:[ \t\n\f\r/]|{_PAIRS})*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist audio video canvas".split())
+#: Input elements that show their value.
+BUTTONS = frozenset("submit button reset".split())
 #: Hidden inside svg or math only.
 FOREIGN = frozenset("svg math".split())
 HIDDEN_FOREIGN = frozenset("defs desc metadata symbol clippath annotation annotation-xml".split())
@@ -72,10 +80,18 @@ def parse(source: str) -> Node:
     """The tree; text nodes are strings with entities resolved."""
     root = Node("#root", {})
     stack = [root]
+    opened: Counter[str] = Counter()  # how many elements of a tag are open, so that depth costs nothing
     at, n = 0, len(source)
 
+    def cut_to(i: int) -> None:
+        for x in stack[i:]:
+            opened[x.tag] -= 1
+        del stack[i:]
+
     def close(names, barrier) -> None:
         """Pop the outermost open element of ``names`` above the barrier, with all inside it."""
+        if not any(opened[x] for x in names):
+            return
         cut = None
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
@@ -83,12 +99,12 @@ def parse(source: str) -> Node:
             if stack[i].tag in barrier:
                 break
         if cut is not None:
-            del stack[cut:]
+            cut_to(cut)
 
     def text(s: str) -> None:
         if s:
             if stack[-1].tag == "head" and s.strip(" \t\n\f\r"):
-                stack.pop()
+                cut_to(len(stack) - 1)
             stack[-1].children.append(entities.unescape(s) if "&" in s else s)
 
     while at < n:
@@ -104,26 +120,26 @@ def parse(source: str) -> Node:
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
-            elif tag not in VOID:
+            elif tag not in VOID and opened[tag]:
                 barrier = {"td", "th", "table", "caption"} - {tag} if tag not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html") else {"table"} - {tag}
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
-                        del stack[i:]
+                        cut_to(i)
                         break
                     if stack[i].tag in barrier:
                         break
             continue
         if tag in IMPLIED:
             close(*IMPLIED[tag])
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    cut_to(i)
                     break
                 if stack[i].tag in _P_SCOPE:
                     break
         if stack[-1].tag == "head" and tag not in METADATA and tag != "html":
-            stack.pop()
+            cut_to(len(stack) - 1)
         raw = m[3] or ""
         attrs = {}
         if raw.strip():
@@ -146,19 +162,64 @@ def parse(source: str) -> Node:
                 node.children.append(entities.unescape(source[at:stop]))
             elif tag in PRE:
                 node.children.append(source[at:stop])
+            elif tag == "style" and not foreign:
+                root.attrs["style"] = root.attrs.get("style", "") + source[at:stop]
             at = (source.find(">", stop) + 1 or n) if end else n
             continue
         stack.append(node)
+        opened[tag] += 1
     return root
 
 
-def visible(node: Node) -> bool:
-    if node.tag in HIDDEN or "hidden" in node.attrs:
-        return False
-    if node.tag == "input":
-        return False
-    style = node.attrs.get("style")
-    return not (style and _HIDING_STYLE.search(style))
+class Sheet:
+    """Rules of the page's style elements that hide: selectors of one tag, classes and an id, no combinators."""
+
+    def __init__(self, css: str):
+        self.rules: list[tuple[str, frozenset[str], str, bool]] = []
+        css = re.sub(r"/\*.*?(\*/|\Z)", " ", css, flags=re.S)
+        # blocks of at-rules may not apply, and text is rather kept
+        css = re.sub(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})", " ", css)
+        for selectors, body in re.findall(r"([^{}@;]+)\{([^{}]*)\}", css):
+            if not _HIDING_STYLE.search(body):
+                continue
+            gone = bool(_NO_DISPLAY.search(body))
+            for x in selectors.split(","):
+                m = re.fullmatch(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)", x.strip())
+                if m and x.strip():
+                    parts = re.findall(r"[.#][\w-]+", m[2])
+                    ids = [p[1:] for p in parts if p[0] == "#"]
+                    self.rules.append(((m[1] or "").lower(), frozenset(p[1:] for p in parts if p[0] == "."), ids[0] if ids else "", gone))
+
+    def hides(self, node: Node) -> bool | None:
+        """True if a rule takes the element away, False if one only makes it invisible, None if none applies."""
+        found = None
+        if self.rules:
+            own = set(node.attrs.get("class", "").split())
+            for tag, classes, name, gone in self.rules:
+                if tag in ("", node.tag) and classes <= own and name in ("", node.attrs.get("id")):
+                    if gone:
+                        return True
+                    found = False
+        return found
+
+
+def shown(node: Node, sheet: Sheet, inherited: bool) -> bool | None:
+    """None if nothing of the element is shown, else whether its own text is: visibility is inherited, and a child may
+    be visible inside an invisible parent."""
+    attrs = node.attrs
+    if node.tag in HIDDEN or "hidden" in attrs or (node.tag == "dialog" and "open" not in attrs):
+        return None
+    if node.tag == "input" and attrs.get("type", "").lower() not in BUTTONS:
+        return None
+    ruled = sheet.hides(node)
+    style = attrs.get("style", "") if node.tag != "#root" else ""
+    own = _DISPLAY.search(style)
+    if own and own[1].lower() == "none" or ruled is True and not own:
+        return None
+    said = _VISIBILITY.findall(style)
+    if said:
+        return said[-1].lower() == "visible"
+    return False if ruled is False else inherited
 
 
 def width(s: str) -> int:
@@ -288,15 +349,22 @@ def render(root: Node) -> str:
     tables: list[list[list[tuple[str, int, int]] | None]] = []
     lists: list[list] = []  # [ordered, next number, indent before]
     pre = 0
-    todo: list = [(root, False)]
+    sheet = Sheet(root.attrs.get("style", ""))
+    todo: list = [(root, False, True)]
     while todo:
-        node, leaving = todo.pop()
+        node, leaving, seen = todo.pop()
         if isinstance(node, str):
-            out.raw(node) if pre else out.text(node)
+            if seen:
+                out.raw(node) if pre else out.text(node)
             continue
         tag = node.tag
         if not leaving:
-            if not visible(node):
+            seen = shown(node, sheet, seen)
+            if seen is None:
+                continue
+            if tag == "input":
+                if seen:
+                    out.text(node.attrs.get("value") or {"submit": "Submit", "reset": "Reset"}.get(node.attrs.get("type", "").lower(), ""))
                 continue
             if tag == "br":
                 out.line()
@@ -310,6 +378,9 @@ def render(root: Node) -> str:
                 out.indent += "  " if len(lists) > 1 else ""
             elif tag == "li":
                 own = lists[-1] if lists else [False, 1, ""]
+                value = node.attrs.get("value", "").strip()
+                if own[0] and re.fullmatch(r"[+-]?[0-9]{1,8}", value):
+                    own[1] = int(value)
                 out.marker = f"{own[1]}. " if own[0] else "- "
                 own[1] += 1
             elif tag in PRE:
@@ -327,8 +398,11 @@ def render(root: Node) -> str:
                     tables[-1].append([])
                 outs.append(out)
                 out = _Out()
-            todo.append((node, True))
-            todo += [(c, False) for c in reversed(node.children)]
+            todo.append((node, True, seen))
+            inside = node.children
+            if tag == "details" and "open" not in node.attrs:
+                inside = [c for c in inside if isinstance(c, Node) and c.tag == "summary"][:1]
+            todo += [(c, False, seen) for c in reversed(inside)]
             continue
         if tag in ("td", "th") and tables:
             deep = node.attrs.get("rowspan")
