@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import strings
+
 TRAIN_ROWS = 1500
 BUCKETS = 1 << 16
 SWITCH = 6.0
@@ -109,7 +111,7 @@ def _count(batches):
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column("lang").to_pylist()
-        texts = _clean(batch.column("text").to_pylist())
+        texts = _clean(strings(batch.column("text")))
         for lang in sorted(set(langs)):
             for t in (t for t, own in zip(texts, langs) if own == lang):
                 bucket, first, script, _ = words_of([t])
@@ -182,7 +184,7 @@ def _predict(model: Model, spans: bool):
 
     def run(batches):
         for batch in batches:
-            texts = _clean(batch.column("text").to_pylist())
+            texts = _clean(strings(batch.column("text")))
             pred, score, all_spans, s = [], [], [], 0
             while s < len(texts):
                 e, size = s, 0
