@@ -13,7 +13,8 @@ query and block are merged.  The work is queries times vectors by the nature of
 
 Defined results: a vector that is null, or holds a null or non-finite component, takes no part; ties go to the
 smaller vec_id; a query never finds its own row (vectors that repeat its id neither); vectors of another length than
-the query never meet it; an empty table gives an empty table; extra columns are ignored.
+the query never meet it; rows that repeat a query's id ask once, with the smallest vector, and each repeated row is a
+candidate of its own; components and scores beyond 64 bits are held at the ends of that range; an empty table gives an empty table; extra columns are ignored.
 """
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 SCALE = 256
 BLOCK = 4096
 QUERY_BLOCK = 512
+TASK_QUERIES = 16
 #: Stop once this many times k possible members are left to a query on average.
 FEW = 8
 
@@ -63,7 +65,10 @@ class Index:
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int):
         """Rows (query, id, score): the k best of the block for each query, ties to the smaller id."""
-        n = len(self.ids)
+        n, dim = self.v.shape
+        most = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))
+        if most(self.v) * most(queries) * dim >= 1 << 52:
+            return self._in_full(queries, own, k)
         q = queries.astype(np.float64)
         size = np.abs(q)
         allowed = self.ids[None, :] != own[:, None]
@@ -91,6 +96,17 @@ class Index:
         return [np.concatenate(x) for x in zip(*out)]
 
 
+    def _in_full(self, queries: np.ndarray, own: np.ndarray, k: int):
+        """Components too large for doubles: whole numbers of any size, scores held to 64 bits."""
+        v, out = self.v.astype(object), []
+        for row, q in enumerate(queries):
+            p = np.flatnonzero(self.ids != own[row])
+            exact = [max(-(1 << 63), min((1 << 63) - 1, x)) for x in v[p] @ q.astype(object)] if len(p) else []
+            best = sorted(range(len(p)), key=lambda j: (-exact[j], self.ids[p[j]]))[:k]
+            out.append((np.full(len(best), row), self.ids[p][best], np.array([exact[j] for j in best], np.int64)))
+        return [np.concatenate(x) for x in zip(*out)]
+
+
 def _search(k: int):
     def run(key: tuple[pa.Scalar, ...], blocks: pa.Table, queries: pa.Table) -> pa.Table:
         found = [[], [], []]
@@ -117,10 +133,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embedd
     v, q = usable(vectors, vec), usable(queries, vec)
     n = vectors.count()
     index = _packed(v, BLOCK, n)
-    packed = _packed(q, QUERY_BLOCK, max(1, n // 50)).withColumnRenamed("block", "qblock")
-    blocks = max(1, -(-n // BLOCK))
-    sent = packed.select("dim", "ids", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    found = index.groupBy("dim", "block").cogroup(sent.groupBy("dim", "block")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    q = q.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.dim", "q.v")
+    asked = queries.count()
+    packed = _packed(q, QUERY_BLOCK, asked)
+    blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-asked // (QUERY_BLOCK * TASK_QUERIES)))
+    # a task meets one block of vectors with TASK_QUERIES blocks of queries, however many there are
+    each = lambda m, name: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
+    sent = packed.select("dim", "ids", "v", (F.col("block") % parts).alias("part"), each(blocks, "block"))
+    index = index.select("dim", "block", "ids", "v", each(parts, "part"))
+    keys = ("dim", "block", "part")
+    found = index.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -129,7 +151,7 @@ ORACLE = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+  FROM (SELECT vec_id, arg_min(v, (len(v), v)) AS v FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
