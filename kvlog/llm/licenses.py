@@ -5,7 +5,8 @@ unified), hashed whole, and joined with the digests of known licence texts.  Who
 line inside other prose is no match of ``scan``.  ``scan_lines`` gives every line the same lookup, for notices.
 
 Defined results: null, empty or all-punctuation text has canonical form '' and never matches; equal texts match
-alike; an empty table gives an empty table; other columns are ignored.
+alike, and repeated rows or ids give one row each; a null doc_id stays null; very long texts are hashed whole; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,9 +115,10 @@ def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, letters and digits only, single blanks, canonical spellings."""
     c = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), COPYRIGHT_LINE, " ")
     c = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    c = F.replace(c, F.lit(" "), F.lit("  "))  # each word has blanks of its own, so neighbours are replaced alike
     for variant, form in SPELLINGS:
-        c = F.replace(c, F.lit(f" {variant} "), F.lit(f" {form} "))
-    return F.trim(c)
+        c = F.replace(c, F.lit(f" {variant} ".replace(" ", "  ")[1:-1]), F.lit(f" {form} ".replace(" ", "  ")[1:-1]))
+    return F.trim(F.replace(c, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -152,9 +154,10 @@ def scan_lines(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def _sql_canonical(x: str) -> str:
     c = f"' ' || trim(regexp_replace(lower(regexp_replace(coalesce({x}, ''), '{SQL_COPYRIGHT_LINE}', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    c = f"replace({c}, ' ', '  ')"
     for variant, form in SPELLINGS:
-        c = f"replace({c}, ' {variant} ', ' {form} ')"
-    return f"trim({c})"
+        c = "replace({}, '{}', '{}')".format(c, *(f" {x} ".replace(" ", "  ")[1:-1] for x in (variant, form)))
+    return f"trim(replace({c}, '  ', ' '))"
 
 
 def oracle() -> str:
