@@ -2,14 +2,15 @@
 
 ``parse_arc`` reads ARC files of version 1 and 2: the version block names the header layout, each record's header
 line is split by it, and the declared length says where the payload ends (payloads may hold anything, header lines
-too).  ``synthesise`` gives a record what WARC asks for and ARC lacks: a record id (a UUID made of source, offset and
+too).  ``_convert`` and ``_records`` give a record what WARC asks for and ARC lacks: a record id (a UUID made of source, offset and
 URL, so a rerun gives the same), an ISO timestamp, a record type and digests.  Of records with equal payloads of at
 least MIN_DUPLICATE bytes the one with the largest key stays a response and the others become revisits of it.
 
 Archives are written by Spark's text writer (each record is a line that ends in CRLF CRLF; compressed with gzip),
 so any store that Spark can write takes them, and read by the binaryFile source, a file a row.
 
-Defined results: a null payload is empty; an unknown date becomes 1970-01-01; equal payloads below MIN_DUPLICATE
+Defined results: a null payload is empty; a URL keeps its place with blanks and control characters quoted, a missing one
+is "unknown:"; a null page_id is never the largest; a very long page is one record, held whole by one task; an unknown date becomes 1970-01-01; equal payloads below MIN_DUPLICATE
 bytes are all responses; ties cannot occur between distinct keys, repeated keys with equal payloads are a response
 each if theirs is the largest; an empty table gives an empty table; extra columns are ignored.
 """
@@ -18,14 +19,17 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import frugal, strings
 from .scratch import scratch_path
 
 # The two layouts of ARC header lines, by version.
@@ -43,6 +47,11 @@ class ArcError(ValueError):
     pass
 
 
+def quoted(url: str | None) -> str:
+    """A URL as one field of a header line; a missing one is "unknown:"."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or "unknown:"
+
+
 def write_arc(records: list[dict], version: str, name: str = "pages.arc") -> bytes:
     """An ARC file of records {url, ip, date, type, payload: bytes, status, location}."""
     head = f"{version} 0 kvlog\n{' '.join(FIELDS[version])}\n".encode()
@@ -50,7 +59,7 @@ def write_arc(records: list[dict], version: str, name: str = "pages.arc") -> byt
     out = [f"filedesc://{name} 0.0.0.0 19700101000000 text/plain{' 200' + extra if version == '2' else ''} {len(head)}\n".encode(), head, b"\n"]
     at = sum(map(len, out))
     for r in records:
-        url = (r.get("url") or "unknown:").replace(" ", "%20").replace("\n", "%0A").replace("\r", "%0D").replace("\t", "%09")
+        url = quoted(r.get("url"))
         more = f" {r.get('status', 200)} - - {at} {name}" if version == "2" else ""
         line = f"{url} {r.get('ip', '0.0.0.0')} {r.get('date', '19700101000000')} {r.get('type', 'text/html')}{more} {len(r['payload'])}\n".encode()
         out += [line, r["payload"], b"\n"]
@@ -110,77 +119,103 @@ def warc_head(record_type: str, rid: str, url: str, date: str, digest: str, leng
     return "\r\n".join([*lines, f"Content-Type: {content_type}", f"Content-Length: {length}", "", ""])
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and payload of each record, by declared lengths."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no WARC record at {at}")
-        head = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-        head = {k.lower(): v for k, v in head.items()}
+def parse_warc(source: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and payload of each record, by declared lengths; one record at a time is held."""
+    stream = io.BytesIO(source) if isinstance(source, bytes) else source
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError("no WARC record where one should begin")
+        head = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().rstrip("\r\n").partition(": ")
+            head[name.lower()] = value
         n = int(head["content-length"])
-        body = data[end + 4 : end + 4 + n]
-        if len(body) < n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
-            raise ValueError(f"record at {at} is cut off")
+        body = stream.read(n)
+        if len(body) < n or stream.read(4) != b"\r\n\r\n":
+            raise ValueError("a record is cut off")
         yield head, body
-        at = end + 8 + n
 
 
+@frugal
 def _convert(batches):
-    """Rows to ARC records, those through the parser, and what it finds to WARC parts."""
+    """Rows to ARC records, those through the parser, and what it finds to the parts of a WARC record."""
     for batch in batches:
-        cols = {c: batch.column(c).to_pylist() for c in ("page_id", "url", "html")}
-        keys, urls, bodies = cols["page_id"], cols["url"], [(x or "").encode() for x in cols["html"]]
-        out = {"rid": [], "uri": [], "date": [], "sha1": [], "sha256": [], "size": []}
+        keys, urls = batch.column("page_id").to_pylist(), strings(batch.column("url"))
+        bodies = [x or b"" for x in batch.column("html").cast(pa.binary()).to_pylist()]
+        out: dict[str, list] = {c: [] for c in _PARTS}
         for version, part in (("1", range(0, len(keys), 2)), ("2", range(1, len(keys), 2))):
-            for r in parse_arc(write_arc([{"url": urls[i], "payload": bodies[i]} for i in part], version)):
-                out["uri"].append(r["URL"])
-                out["date"].append(iso_date(r["Archive-date"]))
-                out["sha1"].append(hashlib.sha1(r["payload"]).hexdigest())
-                out["sha256"].append(hashlib.sha256(r["payload"]).digest())
-                out["size"].append(len(r["payload"]))
-        order = [*range(0, len(keys), 2), *range(1, len(keys), 2)]
-        out["rid"] = [record_id(f"page {keys[i]}", u) for i, u in zip(order, out["uri"])]
-        take = pa.array(order, pa.int64())
-        columns = [batch.column("page_id").take(take), batch.column("html").take(take), *(pa.array(out[c], pa.binary() if c == "sha256" else pa.int64() if c == "size" else pa.string()) for c in out)]
-        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "html", *out])
+            data = write_arc([{"url": urls[i], "payload": bodies[i]} for i in part], version)
+            for i, r in zip(part, parse_arc(data)):
+                payload = r["payload"]
+                found = (keys[i], payload, record_id(f"page {keys[i]}", r["URL"]), r["URL"], iso_date(r["Archive-date"]), r["Content-type"], hashlib.sha1(payload).hexdigest(), hashlib.sha256(payload).digest(), len(payload))
+                for c, x in zip(_PARTS, found):
+                    out[c].append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in _PARTS.items()], names=list(_PARTS))
+
+
+_PARTS = {"page_id": pa.int64(), "payload": pa.binary(), "rid": pa.string(), "uri": pa.string(), "date": pa.string(), "type": pa.string(), "sha1": pa.string(), "sha256": pa.binary(), "size": pa.int64()}
+_PARTS_SQL = "page_id long, payload binary, rid string, uri string, date string, type string, sha1 string, sha256 binary, size long"
 
 
+@frugal
 def _records(batches):
     for batch in batches:
         lines = []
         for r in batch.to_pylist():
             page = "" if r["page_id"] is None else str(r["page_id"])
-            if r["revisit"]:
-                lines.append(warc_head("revisit", r["rid"], r["uri"], r["date"], r["sha1"], 0, "text/html", page, (record_id(f"page {r['winner']}", r["winner_uri"]), str(r["winner"])), r["size"]))
-            else:
-                lines.append(warc_head("response", r["rid"], r["uri"], r["date"], r["sha1"], r["size"], "text/html", page) + (r["html"] or ""))
-        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+            refers = (record_id(f"page {r['winner']}", r["winner_uri"]), str(r["winner"])) if r["revisit"] else None
+            head = warc_head("revisit" if refers else "response", r["rid"], r["uri"], r["date"], r["sha1"], 0 if refers else r["size"], r["type"], page, refers, r["size"])
+            lines.append(head.encode() + (r["payload"] or b""))
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["value"])
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """One WARC record per row of ``pages`` (page_id, url, html), in compressed files under ``path``."""
+    """One WARC record per row of ``pages`` (page_id, url, html), in compressed files under ``path``.  Payload, URI,
+    type and date of each are what the ARC parser returned."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parts = rows.mapInArrow(_convert, "page_id long, html string, rid string, uri string, date string, sha1 string, sha256 binary, size long")
+    parts = rows.mapInArrow(_convert, _PARTS_SQL)
     body = F.coalesce("html", F.lit("")).cast("binary")
     large = rows.where(F.octet_length(body) >= MIN_DUPLICATE).select("page_id", "url", F.sha2(body, 256).alias("hex"))
     # the winner of each repeated payload, as narrow rows; then one wide equi-join, which may split a hot digest
     winner = large.groupBy("hex").agg(F.max(F.struct("page_id", "url")).alias("w"), F.count("*").alias("n")).where("n > 1")
-    winner = winner.select(F.unhex("hex").alias("sha256"), F.col("w.page_id").alias("winner"), F.col("w.url").alias("winner_url"))
+    # quoted as ``quoted`` does, so that the name made of it is that of the winner's record
+    uri = F.coalesce(F.col("w.url"), F.lit(""))
+    for c in (*range(0x21), 0x7F):
+        uri = F.replace(uri, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    uri = F.when(uri == "", F.lit("unknown:")).otherwise(uri)
+    winner = winner.select(F.unhex("hex").alias("sha256"), F.col("w.page_id").alias("winner"), uri.alias("winner_uri"))
     joined = parts.join(winner, "sha256", "left")
     revisit = F.coalesce((F.col("winner") != F.col("page_id")) | F.col("page_id").isNull(), F.lit(False)) & F.col("winner").isNotNull() & (F.col("size") >= MIN_DUPLICATE)
-    joined = joined.withColumn("revisit", revisit).withColumn("html", F.when(~F.col("revisit"), F.col("html")))
-    joined = joined.withColumn("winner_uri", F.coalesce(F.replace("winner_url", F.lit(" "), F.lit("%20")), F.lit("unknown:")))
-    lines = joined.select("page_id", "html", "rid", "uri", "date", "sha1", "size", "winner", "winner_uri", "revisit").mapInArrow(_records, "value string")
+    joined = joined.withColumn("revisit", revisit).withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
+    lines = joined.drop("sha256").mapInArrow(_records, "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
+def arc_pages(spark, path: str) -> DataFrame:
+    """The records of the ARC files (plain or gzip) under ``path`` as rows for ``write_archives``: page_id (made of file
+    and offset), url, html, and the fields of their header line.  A file is parsed by one task."""
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                data = gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
+                for r in parse_arc(data, name):
+                    key = int.from_bytes(hashlib.sha1(f"{name} {r['offset']}".encode()).digest()[:8], "big", signed=True)
+                    row = {"page_id": key, "url": r["URL"], "html": r["payload"], "ip": r["IP-address"], "date": iso_date(r["Archive-date"]), "type": r["Content-type"], "status": r.get("Result-code"), "checksum": r.get("Checksum"), "location": r.get("Location")}
+                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    texts = ("ip", "date", "type", "status", "checksum", "location")
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.binary())] + [(c, pa.string()) for c in texts])
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "page_id long, url string, html binary, " + ", ".join(f"{c} string" for c in texts))
+    return found.withColumn("html", F.col("html").cast("string"))
+
+
+@frugal
 def _read(batches):
     for batch in batches:
         for data in batch.column("content").to_pylist():
             rows = []
-            for head, body in parse_warc(gzip.decompress(data)):
+            for head, body in parse_warc(gzip.open(io.BytesIO(data))):
                 size, digest = len(body), hashlib.sha1(body).hexdigest()
                 stated = head["warc-payload-digest"].removeprefix("sha1:")
                 if head["warc-type"] == "revisit":
