@@ -128,13 +128,15 @@ def _sum(table: pa.Table) -> pa.Table:
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model from (text, lang) rows.  One row of fixed size a language reaches the driver."""
+    """A model from (text, lang) rows, of which about ``rows`` a language are taken, by a hash of the text (and of
+    doc_id, if there is one, so that a text of many copies is thinned like others).  One row of fixed size a language
+    reaches the driver."""
     labelled = labelled.where("text is not null and lang is not null")
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     share = F.lit(0.0)
     for lang in sizes:
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows / sizes[lang]))).otherwise(share)
-    picked = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    picked = labelled.where(F.pmod(F.xxhash64(*(["doc_id"] if "doc_id" in labelled.columns else []), "text"), F.lit(1_000_000)) < share * 1_000_000)
     counted = picked.select("text", "lang").mapInArrow(_count, "lang string, counts binary").groupBy("lang").applyInArrow(_sum, "lang string, counts binary")
     got = {r[0]: np.frombuffer(r[1], np.int64) for r in counted.collect()} if sizes else {}
     langs = sorted(got)
@@ -227,5 +229,5 @@ def held_out() -> Column:
 
 def identify_held_out(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from the rows that are not held out."""
-    model = train(docs.where(~held_out()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    model = train(docs.where(~held_out()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
     return identify(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
