@@ -38,7 +38,7 @@ LONG_LEAST = 9
 LIST_ALL = 0.65
 PIVOT_LISTS = 16
 #: One task judges a list of at most so many sets, with so many differences; longer ones are split.
-LIST_MEMBERS = 4096
+LIST_MEMBERS = 1024
 LIST_ELEMENTS = 4_000_000
 LEVELS = 6
 BLOCK = 1024
