@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..cli import base64_column
 from ..functions import folds, metrics
 from ..operators import retention, runs, visibility
+from ..sources.files import work_dir
+from ..sources.store import Store
+from ..streaming.ingest import ingest
 from . import store_queries
 from .base import LOG_SQL, Query, events_log, visible_sql
 
@@ -165,22 +168,21 @@ _add("snk01_block_cut", _fold("block_no", lambda: folds.BlockCutter(4096), ["grp
 
 
 def _stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a stream, micro-batch by micro-batch into a latest-per-key state, read when the input is used up."""
-    import uuid
-
-    from ..streaming.ingest import live_view
-
+    """events as a stream, each micro-batch one commit of a store; its latest view when the input is used up."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     gone = F.col("event_type") == "error"
     feed = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    feed = feed.select(F.col("user_id").cast("string").alias("user_key"), (F.col("event_id") + 1).alias("seq"), gone.alias("tombstone"), F.when(~gone, F.col("props")).alias("value"))
-    name = "latest_" + uuid.uuid4().hex
-    q = live_view(feed).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    try:
-        q.awaitTermination(600)
-    finally:
-        q.stop()
-    return spark.table(name)
+    op = F.when(gone, F.lit("delete")).otherwise(F.lit("put"))
+    value = F.when(~gone, F.coalesce("props", F.lit(""))).cast("binary")
+    feed = feed.select(F.col("event_id").alias("ordinal"), op.alias("op"), F.col("user_id").cast("string").cast("binary").alias("key"), value.alias("value"))
+    folder = work_dir(spark)
+    with Store.open(spark, f"{folder}/store") as store:
+        q = ingest(feed, store, f"{folder}/checkpoint", "events")
+        try:
+            q.awaitTermination(600)
+        finally:
+            q.stop()
+        return store.scan().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
 _add("stream_latest_view", _stream_latest, visible_sql())

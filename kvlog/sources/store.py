@@ -15,7 +15,7 @@ import os
 import socket
 import time
 import uuid
-from collections import Counter
+from collections import Counter, deque
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,6 +27,10 @@ from ..operators import retention, visibility
 from .files import Files
 
 
+#: Events that an open store remembers.
+EVENTS_KEPT = 10_000
+
+
 @dataclass(frozen=True)
 class Snapshot:
     store_id: str
@@ -87,6 +91,8 @@ class Store:
         self._dead: str | None = None
         self._burnt = state.last_sequence
         self.metrics: Counter[str] = Counter()
+        self._events: deque[dict] = deque(maxlen=EVENTS_KEPT)
+        self._event_no = 0
 
     # Opening and closing
 
@@ -133,6 +139,10 @@ class Store:
     def __exit__(self, *_) -> None:
         self.close()
 
+    def _event(self, category: str, kind: str, **details) -> None:
+        self._event_no += 1
+        self._events.append({"id": self._event_no, "at": time.time(), "category": category, "kind": kind, "details": details})
+
     def _live(self) -> None:
         if self._dead == "closed":
             raise Closed("the store is closed")
@@ -166,17 +176,22 @@ class Store:
         return visibility.in_range(df, begin, end)
 
     def scan(self, begin: bytes = b"", end: bytes = b"", snapshot: Snapshot | None = None) -> DataFrame:
+        self.metrics["scans"] += 1
         at = self._at(snapshot)
         return visibility.scan(self.log(begin, end, at), begin, end, at)
 
     def cursor(self, begin: bytes = b"", end: bytes = b"", snapshot: Snapshot | None = None) -> Cursor:
         at = self._at(snapshot)
+        self.metrics["cursors"] += 1
         return Cursor(self.log(begin, end, at), begin, end, at)
 
     def lookup(self, key: bytes, snapshot: Snapshot | None = None) -> bytes | None:
         at = self._at(snapshot)
         self.metrics["point_lookups"] += 1
+        before = self.metrics["opened_files"]
         rows = visibility.get(self.log(key, key + b"\0", at), key, at).take(1)
+        self.metrics["point_lookup_files"] += self.metrics["opened_files"] - before
+        self.metrics["point_lookups_found" if rows else "point_lookups_missing"] += 1
         return bytes(rows[0]["value"]) if rows else None
 
     def get(self, key: bytes, snapshot: Snapshot | None = None) -> bytes:
@@ -187,6 +202,7 @@ class Store:
 
     def multi_get(self, keys: DataFrame, snapshot: Snapshot | None = None) -> DataFrame:
         at = self._at(snapshot)
+        self.metrics["multi_gets"] += 1
         return visibility.multi_get(self.log(at=at), keys, at)
 
     # Snapshots
@@ -197,6 +213,8 @@ class Store:
         if most and sum(self._snapshots.values()) >= most:
             raise ResourceExhausted("too many active snapshots")
         self._snapshots[self._state.last_sequence] += 1
+        self.metrics["snapshots_taken"] += 1
+        self._event("snapshot", "taken", seq=self._state.last_sequence)
         return Snapshot(self._state.store_id, self._open_id, self._state.last_sequence)
 
     def release(self, snapshot: Snapshot) -> None:
@@ -205,6 +223,8 @@ class Store:
             self._snapshots[snapshot.seq] -= 1
         else:
             self._snapshots.pop(snapshot.seq, None)
+        self.metrics["snapshots_released"] += 1
+        self._event("snapshot", "released", seq=snapshot.seq)
 
     @property
     def watermark(self) -> int | None:
@@ -316,6 +336,7 @@ class Store:
             self._dead = "another writer has committed"
             raise IOFailure(self._dead)
         self._state = new
+        self._event("commit", "published", version=new.version, last_sequence=new.last_sequence, runs=len(new.runs), deltas=len(new.deltas))
 
     # Flush, compaction, cleaning
 
@@ -325,7 +346,9 @@ class Store:
         if not self._state.deltas:
             return
         paths = [f"{self.files.root}/data/{r.name}" for r in self._state.deltas]
+        began = time.perf_counter()
         run = self._merged(self.spark.read.schema(model.LOG).parquet(*paths), self._state.deltas)
+        self._event("flush", "finished", entries=run.entries, bytes=run.size, seconds=round(time.perf_counter() - began, 3))
         self._publish(runs=[*self._state.runs, run], deltas=[], counters=self._counted(flushes=1, flush_bytes=run.size))
         self._compact_due()
 
@@ -351,7 +374,10 @@ class Store:
         log = self.spark.read.schema(model.LOG).parquet(*[f"{self.files.root}/data/{r.name}" for r in old])
         full = count == len(self._state.runs)
         kept = retention.compact(log, self.watermark) if full else retention.prefix_merge(log)
+        began = time.perf_counter()
         run = self._merged(kept, old)
+        self._event("compaction", "full" if full else "prefix", inputs=count, entries=run.entries if run else 0, seconds=round(time.perf_counter() - began, 3))
+        self.metrics["compaction_inputs"] += count
         more = {"compactions": 1, "compaction_input_bytes": sum(r.size for r in old), "compaction_output_bytes": run.size if run else 0}
         counters = self._counted(**more)
         if full:
@@ -399,6 +425,26 @@ class Store:
         rows += [(n, "temporary" if n.startswith("stage-") else "run", "live" if n in live else "temporary" if n.startswith("stage-") else "orphan", self.files.size(f"data/{n}")) for n in self.files.names("data")]
         return self.spark.createDataFrame(rows, "name string, kind string, state string, bytes long")
 
+    def events(self, after: int | None = None, limit: int = 100) -> list[dict]:
+        """The newest ``limit`` events, newest first; or the first ``limit`` after event ``after``, oldest first, which
+        is how a reader that lost its connection goes on.  The newest EVENTS_KEPT are held."""
+        if after is None:
+            return list(reversed(self._events))[:limit]
+        return [e for e in self._events if e["id"] > after][:limit]
+
+    def diagnostics(self) -> dict:
+        """Everything about the store at one moment: identity, options, metrics, runs, snapshots and newest events."""
+        return {
+            "store_id": self._state.store_id,
+            "version": self._state.version,
+            "options": asdict(self.options),
+            "metrics": self.all_metrics(),
+            "runs": [asdict(r) for r in self._state.runs],
+            "deltas": [asdict(r) for r in self._state.deltas],
+            "snapshots": sorted(self._snapshots.elements()),
+            "events": self.events(),
+        }
+
     def bytes_by_kind(self) -> DataFrame:
         """(kind, state, files, bytes) of the store's folder."""
         return self.files_listing().groupBy("kind", "state").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
@@ -416,6 +462,10 @@ class Store:
             "live_bytes": live,
             "debt_tables": debt,
             "debt_bytes": sum(r.size for r in runs[:trigger]) if debt else 0,
+            "deltas": len(self._state.deltas),
+            "delta_entries": sum(r.entries for r in self._state.deltas),
+            "delta_bytes": sum(r.logical_bytes for r in self._state.deltas),
+            "read_amplification": self.metrics["point_lookup_files"] / self.metrics["point_lookups"] if self.metrics["point_lookups"] else 0.0,
             "active_snapshots": sum(self._snapshots.values()),
             "oldest_snapshot": self.watermark,
             "write_amplification": (c["flush_bytes"] + c["compaction_output_bytes"]) / c["logical_write_bytes"] if c["logical_write_bytes"] else 0.0,

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import glob
 import os
+import uuid
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..functions.formats import decode_log
+from ..functions.formats import Entry, decode_log, encode_batch
 from ..model import Corruption
 
 SCHEMA = "file string, record long, user_key binary, seq long, tombstone boolean, value binary"
@@ -68,6 +70,9 @@ class WalSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return WalWriter(self.options["path"], overwrite, int(self.options.get("batch", 1000)))
+
     def reader(self, schema) -> DataSourceReader:
         return WalReader(self.options["path"], int(self.options.get("floor", 0)))
 
@@ -87,3 +92,51 @@ class WalReader(DataSourceReader):
     def read(self, partition):
         with open(partition.value, "rb") as f:
             yield from _rows(partition.value, f.read(), self.floor)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    temporary: list[str]
+
+
+class WalWriter(DataSourceWriter):
+    """Appends log files to a folder that every executor sees by one path.  Each task writes its rows, in order of
+    seq, as batch records of consecutive sequences to a temporary file and syncs it; the commit renames them all, in
+    the order of their first sequence, to the next numbers of the folder."""
+
+    def __init__(self, path: str, overwrite: bool, batch: int):
+        self.path, self.overwrite, self.batch = path.removeprefix("file://"), overwrite, batch
+
+    def write(self, rows) -> Written:
+        found = sorted((Entry(bytes(r["user_key"]), r["seq"], r["tombstone"], bytes(r["value"] or b"")) for r in rows), key=lambda e: e.seq)
+        if not found:
+            return Written([])
+        os.makedirs(self.path, exist_ok=True)
+        name = os.path.join(self.path, f"{found[0].seq:020d}-{uuid.uuid4().hex}.tmp")
+        with open(name, "wb") as f:
+            held: list[Entry] = []
+            for e in [*found, None]:
+                if held and (e is None or len(held) == self.batch or e.seq != held[-1].seq + 1):
+                    f.write(encode_batch(held))
+                    held = []
+                if e is not None:
+                    held.append(e)
+            f.flush()
+            os.fsync(f.fileno())
+        return Written([name])
+
+    def commit(self, messages) -> None:
+        old = glob.glob(os.path.join(self.path, "*.wal"))
+        if self.overwrite:
+            for name in old:
+                os.remove(name)
+            old = []
+        number = max([int(n) for p in old if (n := os.path.basename(p).removesuffix(".wal")).isdigit()], default=0)
+        for name in sorted(n for m in messages if m for n in m.temporary):
+            number += 1
+            os.rename(name, os.path.join(self.path, f"{number:06d}.wal"))
+
+    def abort(self, messages) -> None:
+        for m in messages:
+            for name in m.temporary if m else []:
+                os.remove(name)

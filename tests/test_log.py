@@ -286,3 +286,49 @@ def test_frame_with_deletes(spark, tmp_path):
         s.write_frame(spark.createDataFrame([(1, "put", bytearray(b"q"), bytearray(b"1")), (2, "delete", bytearray(b"q"), None), (3, "put", bytearray(b"r"), bytearray(b""))], "ordinal long, op string, key binary, value binary"))
         assert view(s.scan()) == [(b"r", b"")]
         s.validate()
+
+
+def test_events_diagnostics_and_counters(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "e"), model.Options(compaction_table_trigger=0)) as s:
+        s.put(b"a", b"1")
+        snap = s.snapshot()
+        s.flush()
+        s.put(b"b", b"2")
+        s.flush()
+        s.compact()
+        s.release(snap)
+        assert s.get(b"a") == b"1" and s.lookup(b"zz") is None
+        kinds = [(e["category"], e["kind"]) for e in s.events(after=0, limit=1000)]
+        assert kinds[:3] == [("commit", "published"), ("snapshot", "taken"), ("flush", "finished")] and ("compaction", "full") in kinds
+        third = s.events(after=0)[2]["id"]
+        assert [e["id"] for e in s.events(after=third, limit=2)] == [third + 1, third + 2] and s.events(limit=1)[0]["kind"] == "released"
+        d = s.diagnostics()
+        assert d["metrics"]["point_lookups_found"] == 1 and d["metrics"]["point_lookups_missing"] == 1 and d["metrics"]["read_amplification"] <= 1
+        assert len(d["runs"]) == 1 and d["snapshots"] == [] and d["metrics"]["compaction_inputs"] == 2
+
+
+def test_table_files_as_a_source(spark, tmp_path):
+    entries = sorted((Entry(b"k%03d" % (i % 40), i + 1, i % 7 == 0, b"" if i % 7 == 0 else b"v%d" % i) for i in range(200)), key=lambda e: (e.key, -e.seq))
+    (tmp_path / "000001.sst").write_bytes(formats.encode_table(entries, 512))
+    from kvlog.sources.tables import inspect_tables, read_tables
+
+    got = [(bytes(r["user_key"]), r["seq"], r["tombstone"]) for r in read_tables(spark, str(tmp_path)).collect()]
+    assert got == [(e.key, e.seq, e.tombstone) for e in entries]
+    blocks = inspect_tables(spark.read.format("binaryFile").load(str(tmp_path))).orderBy("block").collect()
+    assert sum(b["entries"] for b in blocks) == 200 and blocks[0]["offset"] == 0 and len(blocks) > 3
+    assert all(a["offset"] + a["size"] == b["offset"] for a, b in zip(blocks, blocks[1:]))
+
+
+def test_log_files_are_appended(spark, tmp_path):
+    spark.dataSource.register(WalSource)
+    path = str(tmp_path / "wal")
+    rows = [(b"k%d" % (i % 9), i, i % 5 == 0, None if i % 5 == 0 else b"v") for i in range(1, 301)]
+    for part in (rows[:200], rows[200:]):
+        df = spark.createDataFrame([(bytearray(k), s, t, None if v is None else bytearray(v)) for k, s, t, v in part], "user_key binary, seq long, tombstone boolean, value binary")
+        df.repartitionByRange(3, "seq").write.format("kvwal").mode("append").option("batch", 50).save(path)
+    got = sorted((r["seq"], bytes(r["user_key"]), r["tombstone"]) for r in read_wal(spark, path).collect())
+    assert got == [(s, k, t) for k, s, t, _ in rows]
+    import os
+
+    names = sorted(os.listdir(path))
+    assert len(names) == 6 and all(formats.parse_file_name(n) for n in names)
