@@ -38,7 +38,7 @@ LONG_LEAST = 9
 LIST_ALL = 0.65
 PIVOT_LISTS = 16
 #: One task judges a list of at most so many sets, with so many differences; longer ones are split.
-LIST_MEMBERS = 1024
+LIST_MEMBERS = 4096
 LIST_ELEMENTS = 4_000_000
 LEVELS = 6
 BLOCK = 1024
@@ -179,10 +179,13 @@ class _Verifier:
 
 
 def _short_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of lists, each of at most LIST_PAIRS sets; the size filter 3/4 <= |A|/|B| <= 4/3 is exact."""
-    packed = lists.groupBy("v").agg(F.collect_list(F.struct("id", "n")).alias("m")).where("size(m) > 1")
+    """All pairs of lists, each of at most LIST_PAIRS sets; the size filter 3/4 <= |A|/|B| <= 4/3 is exact.  If sets
+    have a component c, pairs inside one component are left out."""
+    apart = "c" in lists.columns
+    packed = lists.groupBy("v").agg(F.collect_list(F.struct("id", "n", *["c"] * apart)).alias("m")).where("size(m) > 1")
     one = packed.select("m", F.explode("m").alias("p"))
-    later = F.filter("m", lambda q: (q["id"] > F.col("p.id")) & (4 * q["n"] >= 3 * F.col("p.n")) & (4 * F.col("p.n") >= 3 * q["n"]))
+    other = lambda q: q["c"] != F.col("p.c") if apart else F.lit(True)
+    later = F.filter("m", lambda q: (q["id"] > F.col("p.id")) & other(q) & (4 * q["n"] >= 3 * F.col("p.n")) & (4 * F.col("p.n") >= 3 * q["n"]))
     return one.select(F.col("p.id").alias("a"), F.explode(later).alias("q")).select("a", F.col("q.id").alias("b")).distinct()
 
 
@@ -345,7 +348,7 @@ def _split(big: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, Data
     lists = lists.where("lo < hi").groupBy("list", "m", "x0", "x1").agg(F.min("e").alias("e")).select("list", "e", "m")
     rows = e.join(lists, ["list", "e"]).join(big.select("list", "id", "n", "d"), ["list", "id"])
     rows = materialize(rows.select(F.concat_ws(":", "list", "e").alias("list"), "m", "id", "c", "n", "d"), "lists")
-    few = rows.where(F.col("m") <= LIST_PAIRS).select("id", "n", F.col("list").alias("v"))
+    few = rows.where(F.col("m") <= LIST_PAIRS).select("id", "n", "c", F.col("list").alias("v"))
     return links, _short_pairs(few), rows.where(F.col("m") > LIST_PAIRS).drop("m")
 
 
