@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade, native expressions only.
 
-Each rule is a boolean expression that says *reject*.  ``plan_order`` measures, on a bounded sample, how often a
+Each rule is a boolean expression that says *reject*.  ``plan_order`` measures, on a random sample, how often a
 rule rejects and how long it takes, and orders rules by rejection per cost; ``cascade`` tests them in that order
 inside one CASE, which stops at the first rule that rejects.  The order changes what is computed, never a verdict.
 
@@ -10,17 +10,22 @@ rows and extra columns pass through untouched; an empty table gives an empty tab
 
 from __future__ import annotations
 
+import hashlib
 import time
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Rows that the cost estimate looks at; only two figures a rule come out of it.
-SAMPLE_ROWS = 400
+#: Rows (on average) and files that the cost estimate looks at; only two figures a rule come out of it.
+SAMPLE_ROWS, SAMPLE_FILES, SAMPLE_SEED = 1_000, 64, 20_260
 _P = "__q_"
 
 
@@ -93,23 +98,52 @@ def _repeat_words(words: Column) -> Column:
     return _let(windows, lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), _let(_let(placed(h), places), covered)))
 
 
-def _seconds(df: DataFrame, column: Column, rows: int) -> tuple[float, list[bool]]:
-    began = time.perf_counter()
-    got = [bool(r[0]) for r in df.select(column).take(rows)]
-    return time.perf_counter() - began, got
+def _sample(df: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` random rows.  Of a table of many files, SAMPLE_FILES chosen by a hash of their names are read, so
+    the cost does not grow with the table; a row is drawn from them with equal chance, wherever it lies."""
+    picked, files = df, df.inputFiles()
+    if len(files) > SAMPLE_FILES:
+        names = {f.rsplit("/", 1)[-1] for f in files}
+        chosen = sorted(names, key=lambda n: hashlib.sha256(n.encode()).digest())[:SAMPLE_FILES]
+        try:
+            picked = df.where(F.col("_metadata.file_name").isin(chosen))
+        except AnalysisException:  # not a plain scan: rows have no file
+            picked = df
+    found = picked.count()
+    if not found and picked is not df:
+        picked, found = df, df.count()
+    return picked.sample(False, min(1.0, rows / max(1, found)), SAMPLE_SEED)
 
 
 def plan_order(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """Rules by rejections per second on a sample, best first; ``take`` reads no more partitions than it needs."""
+    """Rules by rejections per second on a random sample, best first.
+
+    The sample is stored with its metrics, so that a rule's time is its own: the better of two runs over the stored
+    rows, less the better of two runs of a rule that does nothing."""
     if len(rules) < 2:
         return rules
-    measured = with_metrics(df.select(text), text)
-    idle = min(_seconds(df, F.lit(False), rows)[0] for _ in range(2))
-    worth = {}
-    for rule in rules:
-        runs = [_seconds(measured, F.expr(rule.rejects), rows) for _ in range(2)]
-        rejected = sum(runs[0][1]) / max(1, len(runs[0][1]))
-        worth[rule.name] = rejected / max(1e-4, min(r[0] for r in runs) - idle)
+    spark = df.sparkSession
+    path = f"{scratch.shared_dir(spark)}/quality-sample-{uuid.uuid4().hex}"
+    try:
+        drawn = _sample(df.select(F.col(text).alias("text")), rows)
+        with_metrics(drawn.repartition(1)).write.parquet(path)
+        sample = spark.read.parquet(path)
+
+        def measured(rejects: Column) -> tuple[float, float]:
+            seconds = []
+            for _ in range(2):
+                began = time.perf_counter()
+                share = sample.agg(F.avg(F.coalesce(rejects, F.lit(False)).cast("double"))).first()[0]
+                seconds.append(time.perf_counter() - began)
+            return min(seconds), share or 0.0
+
+        idle = measured(F.length("text") < 0)[0]
+        worth = {}
+        for rule in rules:
+            seconds, share = measured(F.expr(rule.rejects))
+            worth[rule.name] = share / max(1e-4, seconds - idle)
+    finally:
+        scratch.delete(spark, path)
     return tuple(sorted(rules, key=lambda r: (-worth[r.name], r.name)))
 
 
