@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, metrics, workload
+from ..functions.session import Session
 from ..model import Options
 from ..operators import retention, visibility
 from ..sources import wal
 from ..sources.files import work_dir
 from ..sources.store import Snapshot, Store
+from ..sources.writer import Writer
 from .base import LOG_SQL, Query, events_log, visible_sql
 
 QUERIES: dict[str, Query] = {}
@@ -345,3 +347,36 @@ def cmp03_prefix_keeps_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         log = store.log(at=None)
         half = store.runs().where("position = 0").first()["max_sequence"]
         return _texts(retention.prefix_merge(log.where(F.col("seq") <= half)))
+
+
+@_query("wrt06_group_writes", """WITH t AS (SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS value FROM nation)
+SELECT key, value, TRUE AS grouped, (SELECT count(*) FROM t) AS operations FROM t""")
+def wrt06_group_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A put a nation, handed to the writer one by one: the view, and whether every commit kept the group limit."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").collect()  # 25 rows by definition
+    with Store.open(spark, work_dir(spark)) as store:
+        with Writer(store) as writer:
+            for done in [writer.submit([("put", str(r[0]).encode(), r[1].encode())]) for r in rows]:
+                done.result()
+        m = store.all_metrics()
+        limit = store.options.max_group_commit_requests
+        grouped = m["grouped_writes"] == len(rows) and -(-len(rows) // limit) <= m["group_commits"] < len(rows)
+        return _texts(store.scan()).withColumns({"grouped": F.lit(grouped), "operations": F.lit(m["operations"]).cast("long")})
+
+
+@_query("api02_session", """WITH r AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS n FROM region), o AS (SELECT unnest(['put', 'get', 'delete', 'get']) AS kind, unnest([1, 2, 3, 4]) AS step)
+SELECT 4 * n + step AS operation_id, kind, CASE WHEN step = 4 THEN 'NotFound' ELSE 'Ok' END AS status,
+  2 * n + CASE step WHEN 1 THEN 0 WHEN 4 THEN 2 ELSE 1 + step // 4 END AS sequence_before,
+  2 * n + CASE WHEN step <= 2 THEN 1 ELSE 2 END AS sequence_after FROM r, o""")
+def api02_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every region put, read, deleted and read again: the session's records."""
+    rows = spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()  # 5 rows by definition
+    with Store.open(spark, work_dir(spark)) as store:
+        session = Session(store)
+        for r in rows:
+            key = str(r["r_regionkey"]).encode()
+            session.run("put", key, r["r_name"].encode())
+            session.run("get", key)
+            session.run("delete", key)
+            session.run("get", key)
+        return session.frame().select("operation_id", "kind", "status", "sequence_before", "sequence_after")

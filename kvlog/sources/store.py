@@ -29,6 +29,8 @@ from .files import Files
 
 #: Events that an open store remembers.
 EVENTS_KEPT = 10_000
+#: (put | delete, key, value or none) in order.
+Batch = list[tuple[str, bytes, bytes | None]]
 
 
 @dataclass(frozen=True)
@@ -238,11 +240,12 @@ class Store:
     def delete(self, key: bytes) -> None:
         self.write([("delete", key, None)])
 
-    def write(self, batch: list[tuple[str, bytes, bytes | None]]) -> None:
+    def write(self, batch: Batch) -> None:
         """An atomic, ordered batch of (put | delete, key, value); the last operation on a key wins."""
-        self._live()
-        if not batch:
-            return
+        self.write_group([batch])
+
+    def check(self, batch: Batch) -> int:
+        """Bytes of the keys and values of a batch that may be written."""
         total = 0
         for op, key, value in batch:
             if op not in ("put", "delete") or (op == "put") != (value is not None):
@@ -252,12 +255,22 @@ class Store:
             total += len(key) + len(value or b"")
         if len(batch) > model.BATCH_OPS or total > model.BATCH_BYTES:
             raise InvalidArgument("the batch is too large")
-        first = self._reserve(len(batch))
-        rows = [(bytearray(k), first + i, op == "delete", None if v is None else bytearray(v)) for i, (op, k, v) in enumerate(batch)]
+        return total
+
+    def write_group(self, batches: list[Batch]) -> None:
+        """Batches, one after another, as one commit: one job and one manifest for all of them."""
+        self._live()
+        batches = [b for b in batches if b]
+        total = sum(self.check(b) for b in batches)
+        operations = [o for b in batches for o in b]
+        if not operations:
+            return
+        first = self._reserve(len(operations))
+        rows = [(bytearray(k), first + i, op == "delete", None if v is None else bytearray(v)) for i, (op, k, v) in enumerate(operations)]
         df = self.spark.createDataFrame(rows, model.LOG).coalesce(1)
-        keys = [k for _, k, _ in batch]
-        run = self._store(df, len(batch), total, min(keys), max(keys), first, first + len(batch) - 1)
-        self._publish(deltas=[*self._state.deltas, run], last_sequence=run.max_seq, counters=self._counted(logical_writes=1, operations=len(batch), logical_write_bytes=total))
+        keys = [k for _, k, _ in operations]
+        run = self._store(df, len(rows), total, min(keys), max(keys), first, first + len(rows) - 1)
+        self._publish(deltas=[*self._state.deltas, run], last_sequence=run.max_seq, counters=self._counted(logical_writes=len(batches), operations=len(rows), logical_write_bytes=total))
         held = sum(r.logical_bytes + r.entries * self.options.entry_overhead_bytes for r in self._state.deltas)
         if held >= self.options.memtable_bytes:
             self.flush()

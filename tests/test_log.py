@@ -1,5 +1,6 @@
 import io
 import random
+import threading
 
 import pytest
 from hypothesis import given, settings
@@ -8,8 +9,10 @@ from hypothesis import strategies as st
 from kvlog import cli, model
 from kvlog.functions import folds, formats, workload
 from kvlog.functions.formats import Entry
+from kvlog.functions.session import Session
 from kvlog.operators import retention, visibility
 from kvlog.sources.store import Store
+from kvlog.sources.writer import Writer
 from kvlog.sources.wal import WalSource, read_wal
 
 
@@ -332,3 +335,62 @@ def test_log_files_are_appended(spark, tmp_path):
 
     names = sorted(os.listdir(path))
     assert len(names) == 6 and all(formats.parse_file_name(n) for n in names)
+
+
+def test_writer_groups_orders_and_bounds(spark, tmp_path):
+    opts = model.Options(max_pending_write_requests=4, max_pending_write_bytes=100, max_group_commit_requests=3)
+    with Store.open(spark, str(tmp_path / "w"), opts) as s:
+        groups, commit, started, gate = [], s.write_group, threading.Event(), threading.Event()
+        s.write_group = lambda g: (started.set(), gate.wait(60), groups.append(len(g)), commit(g))[-1]
+        with Writer(s) as w:
+            put = lambda n: w.submit([("put", b"k", b"%d" % n), ("put", b"n%d" % n, b"")])
+            waiting = [put(0)]
+            assert started.wait(60)  # the committer holds the first and stands at the gate
+            waiting += [put(n) for n in range(1, 5)]
+            late = threading.Thread(target=lambda: waiting.append(put(5)))
+            late.start()
+            late.join(0.5)
+            assert late.is_alive()  # the queue is full
+            gate.set()
+            late.join(60)
+            seen = w.call(lambda: s.last_sequence)
+            for x in waiting:
+                x.result(60)
+            assert seen == 12 and groups[0] == 1 and sum(groups) == 6 and max(groups) <= 3 and len(groups) < 6
+            with pytest.raises(model.ResourceExhausted):
+                w.submit([("put", b"k", bytes(100))])
+            with pytest.raises(model.InvalidArgument):
+                w.submit([("put", b"k", None)])
+            w.write([])
+        assert s.get(b"k") == b"5" and s.scan().count() == 7 and s.metrics["max_writer_queue_depth"] == 4
+        with pytest.raises(model.Closed):
+            w.submit([("put", b"k", b"")])
+
+
+def test_writer_hands_errors_to_its_callers(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "w")) as s, Writer(s) as w:
+        with pytest.raises(ZeroDivisionError):
+            w.call(lambda: 1 // 0)
+        s._dead = "gone"
+        with pytest.raises(model.IOFailure):
+            w.write([("put", b"k", b"")])
+        s._dead = None
+        w.write([("put", b"k", b"v")])
+        assert s.get(b"k") == b"v"
+
+
+def test_session_records(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "s")) as s:
+        session = Session(s)
+        assert session.run("get", b"a")["status"] == "NotFound"
+        put = session.run("put", b"a", b"1")
+        assert put["status"] == "Ok" and put["after"]["last_sequence"] == put["before"]["last_sequence"] + 1
+        assert session.run("get", b"a")["value"] == b"1"
+        assert view(session.run("scan")["entries"]) == [(b"a", b"1")]
+        assert session.run("scan", begin=b"b", end=b"a")["status"] == "InvalidArgument"
+        assert [r["kind"] for r in session.operations(2)] == ["scan", "scan"] and session.counts["get", False] == 1
+        assert session.frame().count() == 5
+        with pytest.raises(model.InvalidArgument):
+            session.run("sing")
+        assert [e["kind"] for e in s.events(limit=2)] == ["error", "start"]
+    assert session.run("put", b"a", b"2")["status"] == "Closed"
