@@ -276,13 +276,14 @@ class Store:
             self.flush()
 
     def write_frame(self, mutations: DataFrame, batch_id: str | None = None) -> None:
-        """A mutation DataFrame (ordinal, op, key, value) as one commit; a known ``batch_id`` is skipped.
+        """A mutation DataFrame (ordinal, op, key, value) as one commit; a known ``batch_id`` is skipped.  Ids of the
+        form ``name/number`` must come in order of their numbers; only the last of each name is kept.
 
         Sequences follow the order of ordinals without a global window: rows are range-partitioned by ordinal and
         stored, and only the row count of each partition comes to the driver.
         """
         self._live()
-        if batch_id is not None and batch_id in self._state.batches:
+        if batch_id is not None and self._committed(batch_id):
             return
         bad = ~F.col("op").isin("put", "delete") | F.col("key").isNull() | ((F.col("op") == "put") != F.col("value").isNotNull())
         bad |= (F.octet_length("key") > self.options.max_key_bytes) | (F.coalesce(F.octet_length("value"), F.lit(0)) > self.options.max_value_bytes)
@@ -312,10 +313,16 @@ class Store:
             self.files.delete(f"data/{staged}")
         if self._state.deltas:
             self.flush()  # runs stay in sequence order
-        batches = self._state.batches if batch_id is None else self._state.batches | {batch_id: run.max_seq}
+        name, number = _series(batch_id or "")
+        batches = self._state.batches if batch_id is None else self._state.batches | {name: run.max_seq if number is None else number}
         self._publish(runs=[*self._state.runs, run], last_sequence=run.max_seq, batches=batches, counters=self._counted(logical_writes=1, operations=n, logical_write_bytes=run.logical_bytes, flush_bytes=run.size))
         self._compact_due()
 
+    def _committed(self, batch_id: str) -> bool:
+        name, number = _series(batch_id)
+        known = self._state.batches
+        return batch_id in known or (number is not None and known.get(name, -1) >= number)
+
     def _reserve(self, n: int) -> int:
         first = max(self._burnt, self._state.last_sequence) + 1
         if first + n - 1 > model.MAX_SEQUENCE:
@@ -561,6 +568,12 @@ def _alive(pid: int) -> bool:
     return pid > 0
 
 
+def _series(batch_id: str) -> tuple[str, int | None]:
+    """The key under which a batch is remembered, and its number if it is one of a series."""
+    name, slash, number = batch_id.rpartition("/")
+    return (name + slash, int(number)) if slash and number.isdecimal() else (batch_id, None)
+
+
 def _manifest(version: int) -> str:
     return f"manifest-{version:020d}.json"
 

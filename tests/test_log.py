@@ -394,3 +394,31 @@ def test_session_records(spark, tmp_path):
             session.run("sing")
         assert [e["kind"] for e in s.events(limit=2)] == ["error", "start"]
     assert session.run("put", b"a", b"2")["status"] == "Closed"
+
+
+def test_crc_forms_agree():
+    def slow(data):
+        crc = 0xFFFFFFFF
+        for b in data:
+            crc ^= b
+            for _ in range(8):
+                crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+        return crc ^ 0xFFFFFFFF
+
+    rng = random.Random(3)
+    buffers = [rng.randbytes(n) for n in (*range(40), 255, 256, 257, 4095, 4096, 4097, 5000, 65536, 70001)] + [b"\0" * 33, b"\xff" * 9000]
+    rng.shuffle(buffers)
+    want = [slow(b) for b in buffers]
+    assert [formats.crc32c(b) for b in buffers] == want == formats.crc32c_many(buffers)
+
+
+def test_series_of_batches_keep_their_last_number(spark, tmp_path):
+    row = lambda k: spark.createDataFrame([(1, "put", bytearray(k), bytearray(b"v"))], model.MUTATION)
+    with Store.open(spark, str(tmp_path / "b")) as s:
+        for n in (0, 1, 2, 1, 2):
+            s.write_frame(row(b"%d" % n), f"feed/{n}")
+        s.write_frame(row(b"x"), "other/0")
+        s.write_frame(row(b"y"), "plain")
+        s.write_frame(row(b"z"), "plain")
+        assert s.last_sequence == 5 and s._state.batches == {"feed/": 2, "other/": 0, "plain": 5}
+        assert sorted(k for k, _ in view(s.scan())) == [b"0", b"1", b"2", b"x", b"y"]
