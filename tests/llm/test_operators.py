@@ -9,6 +9,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from kvlog.llm import bpe, html_text, langid, licenses, minhash, mixing, quality, suffix_dedup, topk, warc
 
@@ -383,3 +384,15 @@ def test_pipeline(spark, tmp_path):
         u = int(hashlib.md5(f"{i}:mix17".encode()).hexdigest()[:13], 16) / (1 << 52)
         want += [(i, hashlib.sha256(np.array(encoding.encode_ordinary(t), "<u4").tobytes()).hexdigest())] * sum(x <= u for x in mixing.poisson_steps(rate))
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in out) == sorted(want) and want
+
+
+def test_rules_are_sampled_from_all_over_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_FILES", 5)
+    spark.range(4000).selectExpr("cast(id as string) as text").repartition(20).write.parquet(str(tmp_path / "a b"))
+    stored = spark.read.parquet(str(tmp_path / "a b"))
+    assert 50 < quality._sample(stored.select("text"), 100).count() < 150
+    drawn = quality._sample(stored.select("text"), 10**9).select(F.input_file_name()).distinct()
+    assert drawn.count() == 5
+    derived = stored.groupBy("text").count()
+    assert quality._sample(derived.select("text"), 10**9).count() == 4000
+    assert quality._sample(stored.where("false"), 100).count() == 0
